@@ -95,7 +95,8 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     """(bucket, raw, target) over all documents; trusted: one row for each id of a trusted document."""
     mark = trusted.select(F.col(doc_id).alias("_trusted_id")).distinct().withColumn("_trusted", F.lit(1))
     df = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_given"))
-    df = with_words(df.join(mark, df["_id"] == mark["_trusted_id"], "left"), "_given")
+    # labels grow with the documents: never broadcast
+    df = with_words(df.join(mark.hint("merge"), df["_id"] == mark["_trusted_id"], "left"), "_given")
     df = df.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), "_words", F.posexplode("_words").alias("_at", "_word"))
     df = df.select("_trusted", F.expr(f"explode(array({_ONE}, case when _at + 1 < size(_words) then {_TWO} end))").alias("bucket"))
     return df.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_trusted").alias("target"))
