@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,3 +33,9 @@ def spool(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
