@@ -23,3 +23,38 @@ def substring_dedup(rows, window=50):
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.append((doc_id, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shingle_set(text, size):
+    w = (text or "").encode().lower().split()
+    if len(w) < size:
+        return frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+
+def jaccard_components(rows, size=4, percent=85):
+    """rows: (doc_id, text).  (doc_id, set size, component) of each row, in order, by all pairs that share a shingle."""
+    sets = [shingle_set(text, size) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s:
+            for j in where.get(x, ()):
+                common[j] = common.get(j, 0) + 1
+            where.setdefault(x, []).append(i)
+        for j, both in common.items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return [(doc_id, len(s), least.get(find(i)) if s else doc_id) for i, ((doc_id, _), s) in enumerate(zip(rows, sets, strict=True))]
