@@ -6,8 +6,8 @@ a Bloom filter on the document id let readers skip stripes.  Each output file
 covers one range of ids, so file order and place in the file give the order.
 
 Every white-space-delimited piece of a text is encoded by the tokenizer on its own
-and remembered by the worker: the vocabulary's normaliser drops white space and no
-pre-token spans it, so the pieces' ids joined are the ids of the whole text.
+and remembered by the worker: the vocabulary's normaliser lowers letters and drops white
+space, and no pre-token spans it, so the pieces' ids joined are those of the whole text.
 
 Defined results: a null text is empty and gives the end id alone.  Null ids come
 first.  Rows with equal ids are ordered by their text and kept apart.  An empty
@@ -31,6 +31,7 @@ from ._words import ragged
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 REMEMBERED = 1 << 20  # pieces a worker remembers before it starts anew
+MARKS = b".,;:!?|*#%&$"  # a word's letters and such marks after it are pre-tokens of their own
 ROWS = 512  # documents encoded at once
 
 _memories: dict[str, "_Memory"] = {}
@@ -48,6 +49,8 @@ class _Memory:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -55,32 +58,77 @@ class _Memory:
         self.ids, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def learn(self, pieces: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        length = np.fromiter(map(len, ids), np.int32, len(ids))
+    def _add(self, pieces: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         n, total = len(self.codes), int(length.sum())
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.start) < n + len(pieces):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.ids[self.used : self.used + total] = ids
         self.length[n : n + len(pieces)] = length
         self.start[n : n + len(pieces)] = self.used + np.cumsum(length) - length
         self.used += total
         self.codes.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
+    def _lengths_of_words(self, ids: np.ndarray) -> np.ndarray:
+        return np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0)
+
+    def _learn_words(self, pieces: list[bytes]) -> None:
+        """Pieces of letters alone: each is one pre-token, so many are encoded as one text and cut at the ends of words."""
+        parts = [pieces[at : at + 1000] for at in range(0, len(pieces), 1000)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in parts], add_special_tokens=False)
+        for part, encoded in zip(parts, found, strict=True):
+            ids = np.array(encoded.ids, np.int32)
+            length = self._lengths_of_words(ids)
+            if len(length) == len(part) and length.sum() == len(ids):
+                self._add(part, ids, length)
+            else:
+                self._learn_any(part)
+
+    def _learn_any(self, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(pieces, np.fromiter((i for x in found for i in x), np.int32, int(length.sum())), length)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Learns new pieces; a word and the marks after it are learnt apart and put together, capitals as small letters."""
+        split, whole, words, marks = [], [], {}, {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            low = core.lower()
+            if not core or not core.decode().lower().isalpha():  # lowered, a letter may bring a mark
+                whole.append(p)
+            elif low == p:
+                words[p] = None
+            else:
+                split.append((p, low, p[len(core) :]))
+                words[low] = None
+                if len(core) < len(p):
+                    marks[p[len(core) :]] = None
+        self._learn_words([w for w in words if w not in self.codes])
+        alone = set(whole)
+        self._learn_any([*whole, *(m for m in marks if m not in self.codes and m not in alone)])
+        if split:
+            parts = np.array([(self.codes[w], self.codes[m] if m else -1) for _, w, m in split])
+            one, two = self.length[parts[:, 0]].astype(np.int64), np.where(parts[:, 1] >= 0, self.length[parts[:, 1]], 0).astype(np.int64)
+            starts, lengths = np.empty(2 * len(split), np.int64), np.empty(2 * len(split), np.int64)
+            starts[0::2], starts[1::2] = self.start[parts[:, 0]], self.start[parts[:, 1]]
+            lengths[0::2], lengths[1::2] = one, two
+            self._add([p for p, _, _ in split], self.ids[ragged(starts, lengths)], one + two)
+
     def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         split = [(t or "").encode().split() for t in texts]
         pieces = [p for x in split for p in x]
-        new = set(pieces).difference(self.codes)
-        if len(self.codes) + len(new) > REMEMBERED:
-            self.clear()
-            new = set(pieces)
+        codes = np.array([self.codes.get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(codes < 0).tolist()
         if new:
-            self.learn(sorted(new))
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+            if len(self.codes) + len(new) > REMEMBERED:
+                self.clear()
+                new = range(len(pieces))
+            self.learn(list({pieces[i]: None for i in new}))
+            for i in new:
+                codes[i] = self.codes[pieces[i]]
         length = self.length[codes].astype(np.int64)
         ids = self.ids[ragged(self.start[codes], length)]
         pieces_of = np.fromiter(map(len, split), np.int64, len(split))
