@@ -30,7 +30,7 @@ from ._words import ragged
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-REMEMBERED = 1 << 20  # pieces a worker remembers before it starts anew
+REMEMBERED = 3 << 19  # pieces a worker remembers before it starts anew
 MARKS = b".,;:!?|*#%&$"  # a word's letters and such marks after it are pre-tokens of their own
 ROWS = 512  # documents encoded at once
 
