@@ -215,14 +215,30 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, tx, n_shingles, component_id) of every row of docs; tx is the XXH64 of its text (null as empty)."""
+    """(doc_id, tx, n_shingles, component_id, group) of every row of docs.
+
+    tx is the XXH64 of its text (null as empty), group a name of the component that null ids have too.
+    """
     known, joined = _join_sets(docs, size, percent)
     least = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left")
     least = spool(least.select("node", "least", F.coalesce("comp", "node").alias("comp")), "least")
     of_comp = least.groupBy("comp").agg(F.min("least").alias("component"))
-    named = spool(least.join(of_comp, "comp").select("node", "component"), "named")
+    named = spool(least.join(of_comp, "comp").select("node", "comp", "component"), "named")
     out = known.join(named, "node", "left")
-    return out.select("doc_id", "tx", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "tx", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("comp").alias("group"))
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """docs with the row of least id of each component, of equal ids that of least text hash; rows without words all stay.
+
+    Rows that agree in id and text are one document.
+    """
+    rows = jaccard_components(docs.select("doc_id", "text"), size, percent)
+    first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tx")).alias("x"))
+    stay = first.select("x.doc_id", "x.tx").unionByName(rows.filter("n_shingles = 0").select("doc_id", "tx")).distinct()
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tx"))
+    return docs.join(stay, here, "left_semi")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,9 +30,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 NONSPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 14
-SMOOTHING = 1.0
+SMOOTHING = 20.0
 UNIT = 1 << 24  # ratios are whole multiples of 1 / UNIT
-THRESHOLD = -0.04
+THRESHOLD = -0.045
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -102,17 +102,17 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     return df.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_trusted").alias("target"))
 
 
-def bucket_weights(counts: DataFrame) -> list[float]:
-    """log p_target - log p_raw of each bucket, add-one smoothed; 0 throughout without a trusted n-gram."""
+def bucket_weights(counts: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
+    """log p_target - log p_raw of each bucket, drawn to 0 as by `smoothing` n-grams found as often as expected.
+
+    A bucket that the trusted documents are too few to judge says nothing, so small corpora keep what large ones keep.
+    """
     rows = {r["bucket"]: (r["raw"], r["target"]) for r in counts.collect()}  # one row a bucket
-    raw = sum(x for x, _ in rows.values()) + SMOOTHING * BUCKETS
-    target = sum(x for _, x in rows.values()) + SMOOTHING * BUCKETS
-    if target == SMOOTHING * BUCKETS:
-        return [0.0] * BUCKETS
-    out = []
-    for b in range(BUCKETS):
-        r, t = rows.get(b, (0, 0))
-        out.append(math.log((t + SMOOTHING) / target) - math.log((r + SMOOTHING) / raw))
+    raw, target = (sum(x[k] for x in rows.values()) for k in (0, 1))
+    out = [0.0] * BUCKETS
+    if target:
+        for b, (r, t) in rows.items():
+            out[b] = math.log((t + smoothing) / (r * target / raw + smoothing))
     return out
 
 
@@ -145,6 +145,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return judge(docs, weights, threshold=threshold)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    key = F.xxhash64("doc_id", "text")
+    weights = bucket_weights(bucket_counts(docs, trusted_ids(labels)))
+    judged = judge(docs.select(key.alias("_key"), "text"), weights, doc_id="_key", threshold=threshold)
+    kept = judged.filter("kept").select("_key").distinct()
+    return docs.join(kept, key == F.col("_key"), "left_semi")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, read(spark, sf_dir, "labels")).select(
