@@ -121,10 +121,10 @@ def hamming(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())
 
 
-def near_pairs(sketches: list[bytes], n: np.ndarray, group: np.ndarray, tile: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different groups whose sizes and sketches allow similarity; pairs of one tile only if there is but one."""
+def near_pairs(sketches: list[bytes], n: np.ndarray, group: np.ndarray, tile: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different groups whose sizes and sketches allow similarity, and their distances; between two tiles if there are two."""
     length = np.array([len(s) for s in sketches])
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     sizes = np.unique(length)
     folded = {}
     for size in sizes.tolist():
@@ -141,7 +141,26 @@ def near_pairs(sketches: list[bytes], n: np.ndarray, group: np.ndarray, tile: np
                 other &= tile[at] != tile[i]
             k = np.flatnonzero(other)
             if len(k):
-                apart = np.bitwise_count(words[k] ^ me).sum(axis=1)
-                k = k[apart <= most_apart(n[at[k]], n[i], percent)]
-                found.append((np.full(len(k), i), at[k]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                apart = np.bitwise_count(words[k] ^ me).sum(axis=1).astype(np.int64)
+                good = apart <= most_apart(n[at[k]], n[i], percent)
+                found.append((np.full(good.sum(), i), at[k[good]], apart[good]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def forest(x: np.ndarray, y: np.ndarray, distance: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Indexes of pairs, the nearest first, that join all groups which pairs join, each pair joining two."""
+    up: dict = {}
+
+    def top(g):
+        while up.setdefault(g, g) != g:
+            up[g] = up[up[g]]
+            g = up[g]
+        return g
+
+    keep = []
+    for k in np.argsort(distance, kind="stable").tolist():
+        a, b = top(group[x[k]]), top(group[y[k]])
+        if a != b:
+            up[a] = b
+            keep.append(k)
+    return np.array(keep, np.int64)

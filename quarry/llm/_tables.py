@@ -28,7 +28,17 @@ def spool(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.spool_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes spooled tables that no later job reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.spool_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -12,7 +12,9 @@ linked when 100 * |A & B| >= percent * |A | B|.
    once, without pairs within the group.
 4. What is left are pairs across components that share a key.  Small key groups are joined;
    large ones are cut into tiles of bounded size whose pairs of tiles are compared as
-   sketches.  Pairs within the Hamming bound are verified on the whole sets.
+   sketches.  Pairs within the Hamming bound are verified on the whole sets.  As long as
+   that joins components, a tile sends only the nearest pairs that join all it could join;
+   when it joins none any more, it sends all pairs that are left, and none is missed.
 No pair of different sets that could be linked is left out, but for pairs already known to
 be in one component; components, not all links, are the result.
 
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._parity import hamming, most_apart, near_pairs, pigeonhole_keys, set_ids, sketch
-from ._tables import read, release, spool
+from ._parity import forest, hamming, most_apart, near_pairs, pigeonhole_keys, set_ids, sketch
+from ._tables import discard, read, release, spool
 from ._words import Words, distinct_sets, shingles, text_slices
 
 SIZE, PERCENT = 4, 85
@@ -127,13 +129,17 @@ def _close(percent: int):
     return emit
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, every: bool):
     """From (key, i, j, node, comp, tile, n, sketch) in order of key, i and j: pairs of nodes to verify, for each such group."""
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         node = t.column("node").to_numpy()
-        x, y = near_pairs(t.column("sketch").to_pylist(), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("tile").to_numpy(), percent)
+        comp = t.column("comp").to_numpy()
+        x, y, distance = near_pairs(t.column("sketch").to_pylist(), t.column("n").to_numpy(), comp, t.column("tile").to_numpy(), percent)
+        if not every:
+            keep = forest(x, y, distance, comp)
+            x, y = x[keep], y[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +190,9 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     one_text = one_text.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"))
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tx") == F.col("_tx"))
     sets = texts.join(one_text, here, "left_semi").select("text").mapInArrow(_whole_sets(size), "node long, n long, sketch binary, hashes binary")
-    sets = spool(sets.dropDuplicates(["node"]), "whole-sets")
+    sets = spool(sets, "whole-sets")
+    if sets.count() > sets.select("node").distinct().count():  # only where rows agree in id and text
+        sets = spool(sets.dropDuplicates(["node"]), "whole-sets")
     release(spark)
 
     best = None
@@ -197,10 +205,25 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     joined = components(links)
     release(spark)
 
+    every = False
+    while True:
+        more = _across(shared, joined, sets, percent, every)
+        release(spark)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = components(links)
+        if every:
+            discard(shared, sets)
+            return known, joined
+        every = more.isEmpty()
+
+
+def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links between components: of large key groups all that are left, or enough to join what a tile can join."""
     rows = shared.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    rows = spool(rows, "rows")
-    several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
-    rows = spool(rows.join(several, "key"), "rows")
+    named = spool(rows, "named")
+    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
+    rows = spool(named.join(several, "key"), "rows")
     small = rows.filter(F.col("size") <= SMALL).select("key", "node", "comp")
     other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     pairs = small.withColumnRenamed("node", "a").join(other, "key").filter("a < b and comp <> comp_b").select("a", "b")
@@ -208,10 +231,11 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     large = large.withColumn("_tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(node), _tiles) as int)"))
     large = large.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     large = large.select("key", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sketch")
-    tiled = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent), "a long, b long")
-    more = spool(_verify(spool(pairs.unionByName(tiled).distinct(), "pairs"), sets, percent), "links")
-    release(spark)
-    return known, joined if more.isEmpty() else components(links.unionByName(more))
+    tiled = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, every), "a long, b long")
+    pairs = spool(pairs.unionByName(tiled).distinct(), "pairs")
+    more = spool(_verify(pairs, sets, percent), "links")
+    discard(named, rows, pairs)
+    return more
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
