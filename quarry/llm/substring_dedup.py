@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._recompression import Spans, segments
-from ._tables import read, release, spool
+from ._tables import discard, read, release, spool
 from ._words import Words, text_slices
 
 WINDOW = 50
@@ -143,9 +143,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = found.groupBy("anchor").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "content") for n, f in (("min", F.min), ("max", F.max))])
     anchors = anchors.filter("min_doc_id < max_doc_id").select("anchor", (F.col("min_content") < F.col("max_content")).alias("several"))
     shared = spool(found.join(anchors, "anchor"), "shared")
+    discard(found)
     release(docs.sparkSession)
     classes = spool(shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner")), "classes")
     judged = spool(shared.join(classes, ["anchor", "content"]).filter("several or doc_id > owner").select("doc_id", "mark", "first", "last", (F.col("doc_id") == F.col("owner")).alias("owns")), "judged")
+    discard(shared, classes)
     release(docs.sparkSession)
     owners = judged.filter("owns").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     singles = spool(texts.join(owners, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(_windows(window), "doc_id long, mark int, first int, hash long"), "windows")
@@ -153,13 +155,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = singles.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).filter("owner < _last").select("hash", "owner")
     late = singles.join(first, "hash").filter("doc_id > owner").select("doc_id", "mark", "first", F.col("first").alias("last"))
     gone = judged.filter("not owns").select("doc_id", "mark", "first", "last").unionByName(late)
-    return gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = spool(gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(judged, singles)
+    release(docs.sparkSession)
+    return spans
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     spans = repeated_spans(docs, window).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans")
-    spans = spool(spans, "spans")
-    release(docs.sparkSession)
     here = (F.col("doc_id").cast("long") == F.col("_id")) & (_mark() == F.col("_mark"))
     return docs.join(spans, here, "left").withColumn("_spans", F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))).drop("_id", "_mark", "spans")
 
