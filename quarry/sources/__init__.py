@@ -1 +1,32 @@
-"""To be filled."""
+"""Readers: Parquet tables by name, and record files of JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SEED = "name string, url string, website string, snippet string, country string, state_or_region string, city string, source_type string"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, path: str, schema: str, fields: tuple[str, ...] = ("records", "stations", "djs")) -> DataFrame:
+    """Records of a JSON file that is a list, or an object with the list under one of the fields."""
+    wrapped = ", ".join(f"{f}: array<struct<{schema}>>" for f in fields)
+    flat = spark.read.option("multiLine", True).schema(f"{schema}, {wrapped.replace(': array', ' array')}").json(path)
+    inner = F.coalesce(*[F.col(f) for f in fields])
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    whole = F.array(F.struct(*names))
+    return flat.select(F.explode(F.coalesce(inner, whole)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names])
+
+
+def candidates(rows: DataFrame, country: str | None = None, state: str | None = None, city: str | None = None, limit: int | None = None) -> DataFrame:
+    """Seeds with an address that fit the place asked for; a place that is unknown fits."""
+    from ..operators.listing import same_place
+
+    found = rows.withColumn("url", F.coalesce(F.nullif("url", F.lit("")), "website")).filter(F.coalesce("url", F.lit("")) != "")
+    for column, wanted in (("country", country), ("state_or_region", state), ("city", city)):
+        found = found.filter(same_place(F.col(column), wanted))
+    return found if limit is None else found.limit(limit)
