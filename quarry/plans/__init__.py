@@ -1,11 +1,16 @@
-"""Registered queries."""
+"""Registered queries and their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from . import evidence, listings, merges, opportunities, pages, texts, urls
 
-def queries():
-    return {}
+FLAGSHIP = "opportunities"
+_ALL = [urls, texts, pages, evidence, merges, listings, opportunities]
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {name: query for module in _ALL for name, (query, _) in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
