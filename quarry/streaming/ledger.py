@@ -52,9 +52,13 @@ def versions(spark: SparkSession, table: str, below: int | None = None) -> DataF
     return spark.read.parquet(f"{table}/{names[-1]}") if names else None
 
 
-def windowed_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events and sum of values by type and window; a window ends when the watermark passes it."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed_counts(stream: DataFrame, late: str | None = "1 hour", width: str = "1 day") -> DataFrame:
+    """Events and sum of values by type and window; a window ends when the watermark passes it.
+
+    late is None for a stream that has its watermark.
+    """
+    marked = stream if late is None else stream.withWatermark("ts", late)
+    return marked.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def once(stream: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
