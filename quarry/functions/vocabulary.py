@@ -113,3 +113,49 @@ HIGH, MEDIUM, CONTACTED_PENALTY = 70, 40, 12
 
 # fixed values: outreach
 OUTREACH_STATUSES = ["ready", "sent", "responded", "follow_up", "failed", "closed"]
+
+# fixed values: candidates that are no performer's page
+LISTING_HOSTS = [
+    "eventbrite", "ticketmaster", "songkick", "seatgeek", "eventful", "dice.", "dice.fm", "lu.ma", "meetup.", "biletix", "enterticket",
+    "ra.co", "residentadvisor", "yelp.", "yellowpages", "eventnoire",
+]
+LISTING_PATHS = ["/events", "/event/", "/tickets", "/ticketing", "/date/", "/playlist", "/sets", "/shows", "/tour/", "/gigs", "/search"]
+FORUM_PATHS = ["/groups/", "/posts/", "/videos/"]
+LISTING_TEXTS = [
+    "buy tickets", "get tickets", "tickets on sale", "tickets", "ticketing", "rsvp", "register now", "eventbrite", "what's on", "things to do",
+    "upcoming events", "event listing", "event calendar", "events calendar", "concert listing", "concerts in", "gigs in", "gig listings",
+    "gig guide", "tour dates", "line-up", "lineup", "playlist", "playlists", "mixtape",
+]
+PROFILE_HOSTS = ["mixcloud.com", "soundcloud.com"]
+PERFORMER_TEXTS = [
+    "dj bookings", "booking this dj", "book this dj", "hire a dj", "hire this dj", "dj services", "club dj", "wedding dj", "resident dj",
+    "radio host", "selecta", "selector", "turntablist", "turntablism", "dj mixes", "studio mix", "deejay", "dee-jay",
+]
+PERFORMER_LEADS = ["dj ", "dj,", "dj|", "dj·", "dj —", "dj -", "deejay ", "dee-jay ", "selecta ", "selector ", "resident dj ", "club dj "]
+
+# fixed values: candidates that are no station's site
+PLATFORM_HOSTS = [
+    "facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok.com", "linkedin.com", "pinterest.com", "reddit.com", "tumblr.com",
+    "youtube.com", "youtu.be", "vimeo.com", "twitch.tv", "wikipedia.org", "wikimedia.org", "wikidata.org", "fandom.com", "spotify.com",
+    "soundcloud.com", "mixcloud.com", "bandcamp.com", "apple.com", "deezer.com", "pandora.com", "audacy.com", "discogs.com", "last.fm",
+    "allmusic.com", "genius.com", "azlyrics.com", "lyrics.com", "songfacts.com", "amazon.com", "ebay.com", "etsy.com", "yelp.com",
+    "tripadvisor.com", "eventbrite.com", "ticketmaster.com", "stubhub.com", "songkick.com", "bandsintown.com", "seatgeek.com", "dice.fm",
+    "tunein.com", "streema.com", "radio.com", "iheart.com", "radio-garden.com", "onlineradiobox.com", "mytuner-radio.com", "radios.com",
+    "radio-uk.co.uk", "radioline.co", "indeed.com", "glassdoor.com", "ziprecruiter.com", "monster.com", "linktr.ee", "patreon.com",
+    "gofundme.com", "change.org",
+]
+ITEM_PATH = (
+    r"(?i)^/(?:playlist|playlists|song|songs|lyrics|album|albums|artist|artists|news|article|articles|story|stories|press-release|event|events|"
+    r"tickets?|tour|concerts?|jobs?|careers?|vacanc|wiki|shop|store|cart|checkout|product|products|watch|video|videos|tag|tags|category|"
+    r"categories|author|authors|review|reviews|top-?\d+)(?:/|$)"
+)
+OTHER_TEXT = (
+    r"(?i)\b(top\s+\d+\s+songs?|playlist|lyrics|album review|concert tickets?|tour dates|buy tickets|wikipedia|now hiring|jobs? in|job opening|"
+    r"for sale|buy now|add to cart|listen online free|online radio stations?\s+(?:list|directory)|radio station jobs?|download mp3|free download)\b"
+)
+STATION_WORDS = (
+    r"(?i)\b(radio|radio station|broadcast(?:ing)?|community radio|public radio|college radio|campus radio|pirate radio|low[- ]power|airwaves|"
+    r"on air|fm|am)\b"
+)
+CALLSIGN = r"\b(?:W|K|C|X)[A-Z]{2,4}\b"
+FREQUENCY = r"(?i)\b\d{2,3}(?:\.\d{1,2})?\s?(?:fm|am|khz|mhz)\b"
