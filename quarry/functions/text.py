@@ -14,7 +14,7 @@ _AT, _DOT = r"(?:[(\[]\s*[Aa][Tt]\s*[\])]|AT)", r"(?:[(\[]\s*[Dd][Oo][Tt]\s*[\])
 _HIDDEN = rf"[A-Za-z0-9._%+-]+\s*{_AT}\s*[A-Za-z0-9.-]+\s*{_DOT}\s*[A-Za-z]{{2,}}"
 _INVISIBLE = "[​‌‍﻿ ]"
 _OUTER = " \t\r\n,:;!?\"'`()[]<>{}“”‘’"
-PHONE = r"(?<!\d)(?:\+?1[-. ]?)?\(?[2-9]\d{2}\)?[-. ]?\d{3}[-. ]?\d{4}(?!\d)"
+PHONE = r"(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}"
 
 
 def normalize_email(raw: Column) -> Column:
@@ -61,7 +61,7 @@ def format_phone(raw: Column) -> Column:
 def phones_in(text: Column) -> Column:
     """Distinct ten-digit numbers in order of first sight, as (AAA) BBB-CCCC."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({PHONE})"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, format_phone), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(found, format_phone), lambda x: x.isNotNull() & ~x.rlike(r"^\([01]")))
 
 
 def role_of(text: Column) -> Column:

@@ -127,7 +127,7 @@ def best_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN2 to WIN8, WIN12, WIN13: the three best parts of each brand and type, by size, price and key."""
     p = table(spark, sf_dir, "part")
     w = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey")
-    return p.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("p_brand", "p_type", "place", "p_partkey")
+    return p.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("p_brand", "p_type", "place", "p_partkey")
 
 
 BEST_OF_CATEGORY = "SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS place, p_partkey FROM part QUALIFY place <= 3"

@@ -49,10 +49,9 @@ def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOCUMENT_PHONES = r"""
-WITH padded AS (SELECT doc_id, regexp_replace(text, '(\d)', '\1', 'g') AS t FROM documents),
-found AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?:^|\D)((?:\+?1[-. ]?)?\(?[2-9]\d{2}\)?[-. ]?\d{3}[-. ]?\d{4})(?:$|\D)', 1)) AS x FROM padded),
+WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}')) AS x FROM documents),
 digits AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\D', '', 'g'), '^1(\d{10})$', '\1') AS d FROM found)
-SELECT DISTINCT doc_id, '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] AS phone FROM digits WHERE len(d) = 10
+SELECT DISTINCT doc_id, '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] AS phone FROM digits WHERE len(d) = 10 AND d[1] NOT IN ('0', '1')
 """
 
 

@@ -76,7 +76,7 @@ def priority_links(spark: SparkSession, sf_dir: str, budget: int = 3) -> DataFra
     """SRT11: the pages of each domain with the largest weights, discovery order on ties, within a budget."""
     df = table(spark, sf_dir, "pages").select("page_id", U.registrable_domain(F.col("url")).alias("domain"), U.link_weight(F.col("url"), F.lit("")).alias("weight"))
     w = Window.partitionBy("domain").orderBy(F.desc("weight"), "page_id")
-    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= budget)
+    return df.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= budget)
 
 
 PRIORITY_LINKS = f"""
