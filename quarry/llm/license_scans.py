@@ -5,13 +5,12 @@ set of its distinct word bigrams.  A line matches a template when
 2 * shared / (bigrams of the line + bigrams of the template) reaches the threshold.
 
 Lines meet templates over equal bigrams (an inverted index of the templates), so a line
-without a template's bigram costs nothing and no line is paired with every template.  Two
-size bounds prune what meets: the line must have between t / (2 - t) and (2 - t) / t times
-the template's bigrams, and must share at least t / (2 - t) of them.  The coefficient of
-what is left is exact.
+without a template's bigram costs nothing and no line is paired with every template.  Size
+bounds prune what meets: a line must have between t / (2 - t) and (2 - t) / t times the
+template's bigrams.  Bigrams are compared as text, so the counts of shared ones are exact.
 
-Only DataFrame functions run on the executors.  Templates are given as rows; Spark
-broadcasts them while they are small and shuffles them otherwise.
+Only DataFrame functions run on the executors.  Templates are given as rows; their index
+is broadcast while it has at most INDEX_ROWS rows, counted first, and shuffled otherwise.
 
 Defined results: null texts have no lines.  Lines and templates of less than two words
 match nothing.  A line that matches several templates gives a row for each.  Repeated
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from ._tables import read
 
 THRESHOLD = 0.8
+INDEX_ROWS = 100_000  # some MB
 #: fixed values: common notices
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -62,20 +62,19 @@ def _bigrams(words: str) -> Column:
 def license_matches(docs: DataFrame, wanted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, template, n_shared, n_line, n_template, dice) of lines of docs (doc_id, text) that match wanted (template, text)."""
     ratio = threshold / (2 - threshold)
-    known = wanted.withColumn("w", _words("text")).withColumn("bigrams", _bigrams("w")).filter(F.size("bigrams") > 0)
-    known = known.select("template", F.xxhash64("template", "text").alias("uid"), "bigrams", F.size("bigrams").alias("n_template"))
-    index = known.select("uid", "n_template", F.explode("bigrams").alias("b"))
-    index = index.select("uid", "n_template", F.expr("xxhash64(split(b, ' ')[0], split(b, ' ')[1])").alias("h"))
+    known = wanted.select("template", "text").distinct().withColumn("w", _words("text")).withColumn("bigrams", _bigrams("w"))
+    index = known.select("template", F.xxhash64("template", "text").alias("uid"), F.size("bigrams").alias("n_template"), F.explode("bigrams").alias("b"))
+    facts = index.agg(F.count("*").alias("rows"), F.min("n_template").alias("low"), F.max("n_template").alias("high")).first()
+    if facts["rows"] <= INDEX_ROWS:
+        index = F.broadcast(index)
 
     lines = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("w", _words("line"))
-    pairs = lines.select("_row", "doc_id", "line_no", "line", "w", F.posexplode("w").alias("at", "word"))
-    pairs = pairs.filter("at + 1 < size(w)").select("_row", "doc_id", "line_no", "line", F.expr("xxhash64(word, w[at + 1])").alias("h"))
-    hits = pairs.join(index, "h").groupBy("_row", "doc_id", "line_no", "line", "uid", "n_template").agg(F.count_distinct("h").alias("n"))
-    hits = hits.filter(F.col("n") >= F.col("n_template") * ratio - 1e-9).drop("n", "n_template")
-    found = hits.withColumn("w", _words("line")).withColumn("mine", _bigrams("w")).withColumn("n_line", F.size("mine")).drop("w", "line")
-    found = found.join(known, "uid").filter((F.col("n_line") >= F.col("n_template") * ratio - 1e-9) & (F.col("n_line") * ratio <= F.col("n_template") + 1e-9))
-    found = found.withColumn("n_shared", F.size(F.array_intersect("mine", "bigrams")))
+    lines = lines.withColumn("w", _words("line")).withColumn("mine", _bigrams("w")).select("_row", "doc_id", "line_no", "mine", F.size("mine").alias("n_line"))
+    # lines that are too short or too long for any template send nothing, the others their bigrams without the text
+    sized = (F.col("n_line") >= (facts["low"] or 1) * ratio - 1e-9) & (F.col("n_line") * ratio <= (facts["high"] or 0) + 1e-9)
+    pairs = lines.select("_row", "doc_id", "line_no", "n_line", F.explode_outer(F.when(sized, F.col("mine"))).alias("b"))
+    hits = pairs.join(index, "b").filter((F.col("n_line") >= F.col("n_template") * ratio - 1e-9) & (F.col("n_line") * ratio <= F.col("n_template") + 1e-9))
+    found = hits.groupBy("_row", "doc_id", "line_no", "n_line", "uid", "template", "n_template").agg(F.count("*").alias("n_shared"))
     found = found.withColumn("dice", F.lit(2.0) * F.col("n_shared") / (F.col("n_line") + F.col("n_template"))).filter(F.col("dice") >= threshold)
     best = found.groupBy("_row", "doc_id", "line_no", "template").agg(F.max(F.struct("dice", "n_shared", "n_line", "n_template")).alias("x"))
     return best.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "template", *[F.col(f"x.{c}").cast("long").alias(c) for c in ("n_shared", "n_line", "n_template")], "x.dice")
