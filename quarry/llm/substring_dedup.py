@@ -16,7 +16,8 @@ that equal windows share wherever they stand; windows with one anchor form segme
 5. The removed spans meet the texts again by document.
 
 A class, an anchor or a document may hold any share of the rows: classes and anchors
-are reduced by partial minima, and their joins are plain ones that Spark can split.
+are reduced by partial minima.  The join by anchor takes all rows of one anchor to one
+task, as the check tool notes (see README).
 
 Defined results: a null text has no words; documents without a repeat keep all words.
 A null id is never smaller than another: such rows lose nothing and take nothing from
