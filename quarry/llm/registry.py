@@ -13,10 +13,13 @@ _MODULES = {
     "op5_sharding": "sharding",
     "op6_quality_rules": "quality_rules",
     "op7_token_counts": "token_counts",
+    "op7_whole_token_counts": "token_counts",
     "op8_license_scans": "license_scans",
     "op9_substring_dedup": "substring_dedup",
     "op10_token_orc": "token_orc",
 }
+#: names of SQL other than SQL
+_SQL = {"op7_whole_token_counts": "WHOLE_SQL"}
 
 
 def queries() -> dict:
@@ -24,5 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), "SQL", None) for name, module in _MODULES.items() if find_spec(f"{__package__}.{module}")}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), _SQL.get(name, "SQL"), None) for name, module in _MODULES.items() if find_spec(f"{__package__}.{module}")}
     return {name: sql for name, sql in found.items() if sql}

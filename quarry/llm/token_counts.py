@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import fresh_path, read
+from ._tables import fresh_path, read, spool
 
 KEYS = ["source", "lang", "tokenizer"]
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"}
@@ -101,3 +101,28 @@ WITH counts AS (
     FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
 SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counts GROUP BY ALL
 """
+
+
+def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token counts of all documents in full: stale counts come first and are revised, toxic documents go and come again, and two batches are sent again."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rollup = Rollup(spark, fresh_path(spark, "rollup"))
+    # texts are counted once; each batch reads the counts
+    counts = spool(counted(docs.select("doc_id", "source", "lang", "text")), "counts")
+    stale = counts.withColumn("n_tokens", F.least("n_tokens", F.lit(1000).cast("long")))
+    toxic = counts.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    long = counts.filter("n_tokens > 1000")
+    revise = signed(long.withColumn("n_tokens", F.lit(1000).cast("long")), -1).unionByName(signed(long, 1))
+    batches = {"insert": signed(stale, 1), "revise": revise, "delete": signed(toxic, -1), "again": signed(toxic, 1)}
+    for name in ("insert", "revise", "delete", "revise", "again", "insert"):
+        rollup.commit(name, batches[name])
+    return rollup.totals()
+
+
+WHOLE_SQL = r"""
+WITH counts AS (
+    SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
+    UNION ALL
+    SELECT source, lang, 'words-2', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) FROM documents)
+SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counts GROUP BY ALL
+"""
