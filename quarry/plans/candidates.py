@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import classify as C
 from ..operators import dedupe as D
+from ..operators import html as H
 from ..operators import routes as R
 from ..sources import table
 
@@ -31,6 +32,13 @@ SELECT page_id, ['rejected', 'rejected', 'qualified', 'rejected', 'needs_review'
 """
 
 
+def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLS2 and FLT16: pages judged as station candidates by address, parsed title and the whole text that they show."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", H.parse_page(F.col("url"), F.col("html")).alias("p"))
+    v = C.station_candidate(F.col("url"), F.col("p.title"), F.col("p.text"))
+    return p.select("page_id", v["verdict"].alias("verdict"), v["kind"].alias("kind"), v["reason"].alias("reason"))
+
+
 def _route_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as pages, customers as submissions, lines as contacts of a station (the customer)."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -86,4 +94,4 @@ SELECT grp AS "group", count(*) AS records, arg_min(c_name, c_custkey) FILTER (c
     (SELECT string_agg(c_mktsegment, ',' ORDER BY k) FROM firsts f WHERE f.grp = g.grp) AS genres FROM g GROUP BY grp
 """
 
-QUERIES = {"station_verdicts": (station_verdicts, STATION_VERDICTS), "station_routes": (station_routes, STATION_ROUTES), "identity_groups": (identity_groups, IDENTITY_GROUPS)}
+QUERIES = {"station_verdicts": (station_verdicts, STATION_VERDICTS), "page_verdicts": (page_verdicts, None), "station_routes": (station_routes, STATION_ROUTES), "identity_groups": (identity_groups, IDENTITY_GROUPS)}
