@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.score import age_days, is_stale, source_strength
+from ..functions.text import emails_in, phones_in
 from ..functions.vocabulary import MAX_AGE_DAYS, OUTCOMES, SOURCE_STRENGTH, VERIFICATION_STATES
 from ..operators import verify as V
 from ..sources import table
@@ -69,6 +70,36 @@ SELECT v.status, count(r.status) AS n FROM (SELECT unnest({VERIFICATION_STATES})
 """
 
 
+def _contact_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings of addresses and phone numbers in the whole text of documents: the fact is the claim, the document's source the domain."""
+    docs = table(spark, sf_dir, "documents")
+    found = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    facts = docs.select("doc_id", "source", F.explode(F.concat(found("email", emails_in(F.col("text"))), found("phone", phones_in(F.col("text"))))).alias("f"))
+    host = F.concat(F.lit("https://www."), F.col("source"), F.lit(".org/"), F.col("doc_id"))
+    kind = F.array(*[F.lit(t) for t in _TYPES])[F.pmod(F.col("doc_id"), F.lit(len(_TYPES))).cast("int")]
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(100)).cast("int")), "yyyy-MM-dd")
+    return facts.select(F.col("f.value").alias("claim"), F.col("f.kind").alias("kind"), F.col("f.value").alias("value"), host.alias("source_url"), kind.alias("source_type"), day.alias("discovered_at"))
+
+
+def contact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VER1, VER2, AGG6 and AGG7 over what the texts say: the outcome of each address and phone number."""
+    value = F.element_at("values", 1)
+    return V.evaluate(_contact_facts(spark, sf_dir), ["claim"]).select("claim", "kind", "outcome", "n_observations", value["independent_domains"].alias("domains"), value["strength"].alias("strongest"))
+
+
+def contact_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG4 over contact_outcomes."""
+    return V.outcome_summary(contact_outcomes(spark, sf_dir))
+
+
+def contact_verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VER3, VER6, AGG5, SCR16 and STR6: states of addresses and phone numbers at a given time; each was verified when last seen."""
+    last = _contact_facts(spark, sf_dir).groupBy("claim", "kind").agg(F.max("discovered_at").alias("verified_at"))
+    claims = contact_outcomes(spark, sf_dir).join(last, ["claim", "kind"])
+    stale = is_stale(F.col("verified_at"), F.lit(_NOW).cast("timestamp"), MAX_AGE_DAYS)
+    return V.status_summary(claims.withColumn("status", V.verification_status(F.col("outcome"), stale)))
+
+
 def user_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG6 over events: each user's event types as values of a claim, the day of the month as source."""
     e = table(spark, sf_dir, "events")
@@ -117,6 +148,9 @@ QUERIES = {
     "claim_outcomes": (claim_outcomes, CLAIM_OUTCOMES),
     "outcome_summary": (outcome_summary, OUTCOME_SUMMARY),
     "verification_summary": (verification_summary, VERIFICATION_SUMMARY),
+    "contact_outcomes": (contact_outcomes, None),
+    "contact_outcome_summary": (contact_outcome_summary, None),
+    "contact_verification_summary": (contact_verification_summary, None),
     "user_claims": (user_claims, USER_CLAIMS),
     "unsupported_contacts": (unsupported_contacts, UNSUPPORTED_CONTACTS),
     "strength_by_source": (strength_by_source, STRENGTH_BY_SOURCE),
