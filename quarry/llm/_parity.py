@@ -124,26 +124,31 @@ def hamming(one: bytes, two: bytes) -> int:
 def near_pairs(sketches: list[bytes], n: np.ndarray, group: np.ndarray, tile: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different groups whose sizes and sketches allow similarity, and their distances; between two tiles if there are two."""
     length = np.array([len(s) for s in sketches])
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    sizes = np.unique(length)
-    folded = {}
-    for size in sizes.tolist():
-        at = np.flatnonzero(length >= size)
-        folded[size] = (at, np.stack([_fold(np.frombuffer(sketches[i], np.uint8), size) for i in at]).view(np.uint64))
     cross = len(np.unique(tile)) > 1
-    for i in range(len(sketches)):
-        for size in sizes[sizes <= length[i]].tolist():
-            at, words = folded[size]
-            me = words[np.searchsorted(at, i)]
-            other = (length[at] == size) & (group[at] != group[i])
-            other &= (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])) & ((at > i) | (length[i] > size))
-            if cross:
-                other &= tile[at] != tile[i]
-            k = np.flatnonzero(other)
-            if len(k):
-                apart = np.bitwise_count(words[k] ^ me).sum(axis=1).astype(np.int64)
-                good = apart <= most_apart(n[at[k]], n[i], percent)
-                found.append((np.full(good.sum(), i), at[k[good]], apart[good]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    sizes = np.unique(length).tolist()
+    members = {size: np.flatnonzero(length == size) for size in sizes}
+    for k, size in enumerate(sizes):
+        mine = np.stack([np.frombuffer(sketches[i], np.uint8) for i in members[size]]).view(np.uint64)
+        for other in sizes[k:]:
+            far = mine if other == size else np.stack([_fold(np.frombuffer(sketches[i], np.uint8), size) for i in members[other]]).view(np.uint64)
+            at = members[other]
+            step = max(1, (1 << 20) // len(at))
+            for low in range(0, len(mine), step):
+                i = members[size][low : low + step]
+                may = group[i][:, None] != group[at][None, :]
+                may &= 100 * np.minimum.outer(n[i], n[at]) >= percent * np.maximum.outer(n[i], n[at])
+                if other == size:
+                    may &= i[:, None] < at[None, :]
+                if cross:
+                    may &= tile[i][:, None] != tile[at][None, :]
+                p, q = np.nonzero(may)
+                part = max(1, (1 << 20) // mine.shape[1])
+                for c in range(0, len(p), part):
+                    x, y = p[c : c + part], q[c : c + part]
+                    apart = np.bitwise_count(mine[low + x] ^ far[y]).sum(axis=1).astype(np.int64)
+                    good = apart <= most_apart(n[i[x]], n[at[y]], percent)
+                    found.append((i[x[good]], at[y[good]], apart[good]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of this process."""
+    """spark.checkpoint.dir of the session; where it is unset and the master is local, as in tests, a folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="quarry-"))
     return f"{base.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
 

@@ -10,13 +10,18 @@ linked when 100 * |A & B| >= percent * |A | B|.
 3. Each node is compared with the hub of its keys that it shares most keys with: the least
    node of a key, and the greatest.  Links found so join large groups of near copies at
    once, without pairs within the group.
-4. What is left are pairs across components that share a key.  Small key groups are joined;
-   large ones are cut into tiles of bounded size whose pairs of tiles are compared as
-   sketches.  Pairs within the Hamming bound are verified on the whole sets.  As long as
-   that joins components, a tile sends only the nearest pairs that join all it could join;
-   when it joins none any more, it sends all pairs that are left, and none is missed.
-No pair of different sets that could be linked is left out, but for pairs already known to
-be in one component; components, not all links, are the result.
+4. What is left are pairs across components that share a key.  Keys with the same least node
+   are one group from here on: near copies share most of their keys, so a node stands in few
+   groups however many keys it has.  Only groups of several components go on; they are cut
+   into tiles of bounded size whose sketches are compared in one task.  Pairs within the
+   Hamming bound are verified on the whole sets.  As long as that joins components, a tile
+   sends only the nearest pairs that join all it could join; when it joins none any more, it
+   sends all pairs that are left, and none is missed.
+jaccard_components leaves out pairs already known to be in one component; jaccard_links
+compares all different sets that share a key and gives every link between them.
+
+Joins by key, hub or component have written tables on both sides, so Spark can split a
+key that holds many rows.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and are their own component.  Rows that repeat, or that share an id, are rows of
@@ -42,8 +47,7 @@ SIZE, PERCENT = 4, 85
 PART = 1 << 21  # shingles counted together when looking for common ones
 COMMON = 500  # a shingle is common if one document of so many has it
 MOST_COMMON = 1 << 20  # common shingles left out of the first sketch: 8 MB; any choice is right, this one is quick
-SMALL = 64  # key groups up to this size are joined as they are
-TILE = 512
+TILE = 4096  # nodes compared in one task: some MB of sketches
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -130,17 +134,17 @@ def _close(percent: int):
 
 
 def _tiles(percent: int, every: bool):
-    """From (key, i, j, node, comp, tile, n, sketch) in order of key, i and j: pairs of nodes to verify, for each such group."""
+    """From (low, i, j, node, comp, tile, n, sketch) in order of low, i and j: pairs of nodes to verify with their components."""
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
-        node = t.column("node").to_numpy()
-        comp = t.column("comp").to_numpy()
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
         x, y, distance = near_pairs(t.column("sketch").to_pylist(), t.column("n").to_numpy(), comp, t.column("tile").to_numpy(), percent)
         if not every:
             keep = forest(x, y, distance, comp)
             x, y = x[keep], y[keep]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], comp[x], comp[y])], ["a", "b", "comp_a", "comp_b"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,6 +168,7 @@ def _tiles(percent: int, every: bool):
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The linked pairs (a, b): sketches first, then whole sets."""
     brief, whole = sets.select("node", "n", "sketch"), sets.select("node", "hashes")
+    pairs = pairs.select("a", "b")
     for table, work in ((brief, _close(percent)), (whole, _linked(percent))):
         one, two = (table.select(*[F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in table.columns]) for k in ("a", "b"))
         df = pairs.join(one, "a").join(two, "b")
@@ -171,8 +176,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tx, n, node) of every row, and (node, comp) of the nodes that are linked with others."""
+def _describe_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, tx, n, node) of every row; (node, low, high, times) of nodes that share keys, by the keys' ends; the sets of these nodes."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tx"), "text")
     found = spool(texts.mapInArrow(_describe(size), "doc_id long, tx long, n long, node long, common boolean"), "sets")
@@ -181,8 +186,10 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)))
 
     keys = texts.select("text").mapInArrow(_keys(size, percent, common), "key long, node long")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = spool(keys.join(hubs, "key").distinct(), "shared")
+    ends = spool(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
+    release(spark)
+    shared = spool(keys.join(ends, "key").groupBy("node", "low", "high").agg(F.count("*").alias("times")), "shared")
+    discard(ends)
     release(spark)
 
     nodes = shared.select("node").distinct()
@@ -192,52 +199,74 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     sets = texts.join(one_text, here, "left_semi").select("text").mapInArrow(_whole_sets(size), "node long, n long, sketch binary, hashes binary")
     sets = spool(sets, "whole-sets")
     if sets.count() > sets.select("node").distinct().count():  # only where rows agree in id and text
-        sets = spool(sets.dropDuplicates(["node"]), "whole-sets")
+        twice, sets = sets, spool(sets.dropDuplicates(["node"]), "whole-sets")
+        discard(twice)
     release(spark)
+    return known, shared, sets
+
 
+def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tx, n, node) of every row, and (node, comp) of the nodes that share keys with others."""
+    known, shared, sets = _describe_sets(docs, size, percent)
     best = None
     for hub in ("low", "high"):
-        count = shared.filter(f"node <> {hub}").groupBy("node", hub).count()
+        count = shared.filter(f"node <> {hub}").groupBy("node", hub).agg(F.sum("times").alias("count"))
         top = count.groupBy("node").agg(F.max_by(hub, F.struct("count", hub)).alias("hub"))
         best = top if best is None else best.unionByName(top)
-    pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = spool(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     links = spool(_verify(pairs, sets, percent), "links")
-    joined = components(links)
-    release(spark)
+    joined = components(links).withColumnRenamed("comp", "linked")
+    labels = spool(sets.select("node").join(joined, "node", "left").select("node", F.coalesce("linked", "node").alias("comp")), "labels")
+    discard(pairs, links)
+    release(docs.sparkSession)
 
+    groups = spool(shared.select("low", "node").distinct(), "groups")
     every = False
     while True:
-        more = _across(shared, joined, sets, percent, every)
-        release(spark)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = components(links)
+        more = _across(groups, labels, sets, percent, every)
+        none = more.isEmpty()
+        if not none:
+            # only components are joined from here on, so the graph shrinks from round to round
+            onto = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("onto"))
+            old, labels = labels, spool(labels.join(onto, "comp", "left").select("node", F.coalesce("onto", "comp").alias("comp")), "labels")
+            discard(old)
+        discard(more)
+        release(docs.sparkSession)
         if every:
-            discard(shared, sets)
-            return known, joined
-        every = more.isEmpty()
-
-
-def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links between components: of large key groups all that are left, or enough to join what a tile can join."""
-    rows = shared.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    named = spool(rows, "named")
-    several = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
-    rows = spool(named.join(several, "key"), "rows")
-    small = rows.filter(F.col("size") <= SMALL).select("key", "node", "comp")
-    other = small.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = small.withColumnRenamed("node", "a").join(other, "key").filter("a < b and comp <> comp_b").select("a", "b")
-    large = rows.filter(F.col("size") > SMALL).join(sets.select("node", "n", "sketch"), "node")
-    large = large.withColumn("_tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(node), _tiles) as int)"))
-    large = large.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    large = large.select("key", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sketch")
-    tiled = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, every), "a long, b long")
-    pairs = spool(pairs.unionByName(tiled).distinct(), "pairs")
-    more = spool(_verify(pairs, sets, percent), "links")
-    discard(named, rows, pairs)
+            discard(groups, shared, sets)
+            return known, labels
+        every = none
+
+
+def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b, comp_a, comp_b) between components: all that are left, or enough to join what a tile can join."""
+    named = spool(groups.join(labels, "node"), "named")
+    several = named.groupBy("low").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+    several = spool(several.filter("x < y").select("low", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "several")
+    rows = named.join(several, "low").join(sets.select("node", "n", "sketch"), "node")
+    rows = rows.withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("low", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sketch")
+    tiled = rows.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(_tiles(percent, every), "a long, b long, comp_a long, comp_b long")
+    pairs = spool(tiled.distinct(), "pairs")
+    good = _verify(pairs, sets, percent)
+    more = spool(pairs.join(good, ["a", "b"]), "links")
+    discard(named, several, pairs)
     return more
 
 
+def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(a, b): every link between different sets, by their names; and (doc_id, tx, n_shingles, node, n_links): the set of every row.
+
+    Rows with equal sets are one node; n_links counts the other nodes that it is linked with.
+    """
+    known, shared, sets = _describe_sets(docs, size, percent)
+    own = sets.select("node", F.col("node").alias("comp"))
+    links = _across(shared.select("low", "node").distinct(), own, sets, percent, True).select("a", "b")
+    count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    member = known.join(count, "node", "left").select("doc_id", "tx", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return links, member
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, tx, n_shingles, component_id, group) of every row of docs.
 

@@ -71,11 +71,10 @@ def test_words_are_bytes_between_spaces():
             assert bounds[i - a + 1] - bounds[i - a] == (max(1, len(want) - 3) if want else 0)
 
 
-@pytest.mark.parametrize("small", [2, 64])
-def test_jaccard_components(spark, monkeypatch, small):
-    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
-    monkeypatch.setattr(ngram_jaccard, "TILE", 16)
-    rows = EDGES + near_copies(small)
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_jaccard_components(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    rows = EDGES + near_copies(tile)
     got = plain(ngram_jaccard.jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
     assert got == sorted(map(str, brute.jaccard_components(rows)))
 
@@ -89,6 +88,16 @@ def test_jaccard_keeps_one_of_each(spark):
     assert ngram_jaccard.jaccard_components(frame(spark, EDGES).limit(0)).count() == 0
 
 
+def test_jaccard_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TILE", 16)
+    rows = EDGES + near_copies(3, 3, 20)
+    links, member = ngram_jaccard.jaccard_links(frame(spark, rows))
+    sets = {brute.shingle_set(text, 4) for _, text in rows} - {frozenset()}
+    near = [(x, y) for x in sets for y in sets if x is not y and 100 * len(x & y) >= 85 * len(x | y)]
+    assert 2 * links.count() == 2 * links.distinct().count() == len(near) > 0
+    assert sorted(r["n_links"] for r in member.collect()) == sorted(sum(x == s for x, _ in near) for s in (brute.shingle_set(t, 4) for _, t in rows))
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["comp"] for r in components(links).collect()} == {0, 100}
