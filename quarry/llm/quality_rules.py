@@ -18,7 +18,6 @@ input other than id and text are not read, so clashing names do no harm.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,34 +30,45 @@ NONSPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 14
 SMOOTHING = 20.0
+HELD_IDS = 1 << 21  # trusted ids sent to every task: some 50 MB there
 UNIT = 1 << 24  # ratios are whole multiples of 1 / UNIT
 THRESHOLD = -0.045
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-# Starts of windows found twice or more, sorted.  A packed window holds 39 bits of its hash over 24 bits of its start, so a
-# plain sort of longs brings equal windows together; neighbours count only if their words are equal.  Most texts have
-# no near neighbours and stop there.  Texts with more words than 24 bits can count take full hashes instead.
-_PLACES = 24
-_LOW = (1 << _PLACES) - 1
-_PACKED = f"""sort_array(transform(sequence(0, size(_words) - 3), i ->
-    (shiftrightunsigned(xxhash64(_words[i], _words[i + 1], _words[i + 2]), 1) & {~_LOW}L) | cast(i as bigint)))"""
-_WHOLE = """sort_array(transform(sequence(0, size(_words) - 3), i ->
-    named_struct('h', xxhash64(_words[i], _words[i + 1], _words[i + 2]), 'i', i)))"""
-_NEAR = f"filter(_packed, (x, k) -> x - get(_packed, k - 1) <= {_LOW}L)"
+# Starts of windows found twice or more, sorted.  A packed window holds the high bits of its hash over PLACES bits of its
+# start, so a plain sort of longs brings windows of equal hash together; neighbours count only if their words are equal.
+# Most texts have no near neighbours and stop there.  A text in which neighbours of equal hash differ in words, or with
+# more words than PLACES bits can count, is sorted by the words of its windows instead, where equal ones always touch.
+PLACES = 24
 
 
-def _same(x: str, y: str) -> str:
-    p, q = (f"cast({v} & {_LOW}L as int)" for v in (x, y))
-    equal = " and ".join(f"_words[{p} + {j}] = _words[{q} + {j}]" for j in range(3))
-    return f"(abs({x} - {y}) <= {_LOW}L and {equal})"
+def _packed(places: int) -> str:
+    low = (1 << places) - 1
+    return f"""case when size(_words) between 3 and {low} then sort_array(transform(sequence(0, size(_words) - 3), i ->
+        (shiftrightunsigned(xxhash64(_words[i], _words[i + 1], _words[i + 2]), 1) & {~low}L) | cast(i as bigint))) end"""
 
 
-_REPEATED = f"""case when size(_words) < 3 or size(_near) = 0 then cast(array() as array<int>)
-    when size(_words) <= {_LOW} then sort_array(transform(filter(_packed, (x, k) ->
-        (k > 0 and {_same("x", "_packed[k - 1]")}) or (k + 1 < size(_packed) and {_same("x", "_packed[k + 1]")})),
-        x -> cast(x & {_LOW}L as int)))
-    else sort_array(transform(filter({_WHOLE}, (x, k) -> exists(array(-1, 1), d -> coalesce(get({_WHOLE}, k + d).h = x.h, false))), x -> x.i)) end"""
+def _same(x: str, y: str, low: int) -> str:
+    p, q = (f"cast({v} & {low}L as int)" for v in (x, y))
+    return " and ".join(f"_words[{p} + {j}] = _words[{q} + {j}]" for j in range(3))
+
+
+_BY_WORDS = """array_sort(transform(sequence(0, size(_words) - 3), i -> named_struct('w', concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]), 'i', i)))"""
+
+
+def _repeated_windows(df: DataFrame, places: int) -> DataFrame:
+    """df with _repeated: the sorted starts of three-word windows that stand in their text twice or more."""
+    low = (1 << places) - 1
+    df = df.withColumn("_packed", F.expr(_packed(places)))
+    df = df.withColumn("_near", F.expr(f"filter(_packed, (x, k) -> x - get(_packed, k - 1) <= {low}L)"))
+    clash = f"exists(sequence(1, size(_packed) - 1), k -> _packed[k] - _packed[k - 1] <= {low}L and not ({_same('_packed[k]', '_packed[k - 1]', low)}))"
+    df = df.withColumn("_clash", F.expr(f"case when size(_words) > {low} then true when size(_near) > 0 then {clash} else false end"))
+    df = df.withColumn("_by_words", F.expr(f"case when _clash then {_BY_WORDS} end"))
+    beside = " or ".join(f"coalesce(x - {y} between {-low}L and {low}L and {_same('x', y, low)}, false)" for y in ("get(_packed, k - 1)", "get(_packed, k + 1)"))
+    repeated = f"""sort_array(case when _clash then transform(filter(_by_words, (x, k) -> coalesce(get(_by_words, k - 1).w = x.w, false) or coalesce(get(_by_words, k + 1).w = x.w, false)), x -> x.i)
+        when size(_near) > 0 then transform(filter(_packed, (x, k) -> {beside}), x -> cast(x & {low}L as int)) else cast(array() as array<int>) end)"""
+    return df.withColumn("_repeated", F.expr(repeated)).drop("_packed", "_near", "_clash", "_by_words")
 
 
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -66,7 +76,7 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def base_counts(docs: DataFrame, text: str = "text", places: int = PLACES) -> DataFrame:
     """docs with _words, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     df = with_words(docs, text).withColumns(
         {
@@ -77,8 +87,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    df = df.withColumn("_packed", F.expr(f"case when size(_words) between 3 and {_LOW} then {_PACKED} end"))
-    df = df.withColumn("_near", F.expr(_NEAR)).withColumn("_repeated", F.expr(_REPEATED)).drop("_packed", "_near")
+    df = _repeated_windows(df, places)
     # sorted starts of repeated windows: each covers three words, less what the next one covers again
     covered = (
         "aggregate(_repeated, named_struct('at', -3, 'n', 0L),"
@@ -91,15 +100,28 @@ _ONE = f"cast(pmod(xxhash64(_word), {BUCKETS}L) as int)"
 _TWO = f"cast(pmod(xxhash64(_word, _words[_at + 1]), {BUCKETS}L) as int)"
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, raw, target) over all documents; trusted: one row for each id of a trusted document."""
-    mark = trusted.select(F.col(doc_id).alias("_trusted_id")).distinct().withColumn("_trusted", F.lit(1))
+def _buckets(docs: DataFrame, *rest: str) -> DataFrame:
+    """(bucket, rest) for every n-gram of _given."""
+    df = with_words(docs, "_given").select(*rest, "_words", F.posexplode("_words").alias("_at", "_word"))
+    df = df.select(*rest, F.expr(f"explode(array({_ONE}, case when _at + 1 < size(_words) then {_TWO} end))").alias("bucket"))
+    return df.filter("bucket is not null")
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", held_ids: int = HELD_IDS) -> DataFrame:
+    """(bucket, raw, target) over all documents; trusted: one row for each id of a trusted document.
+
+    Texts are counted where they are read while the trusted ids, counted first, are few enough to be held by every task.
+    Beyond that raw is still counted there, and texts meet the ids in a shuffle for target alone.
+    """
+    ids = trusted.select(F.col(doc_id).alias("_trusted_id")).distinct()
     df = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_given"))
-    # labels grow with the documents: never broadcast
-    df = with_words(df.join(mark.hint("merge"), df["_id"] == mark["_trusted_id"], "left"), "_given")
-    df = df.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), "_words", F.posexplode("_words").alias("_at", "_word"))
-    df = df.select("_trusted", F.expr(f"explode(array({_ONE}, case when _at + 1 < size(_words) then {_TWO} end))").alias("bucket"))
-    return df.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_trusted").alias("target"))
+    here = F.col("_id") == F.col("_trusted_id")
+    if ids.limit(held_ids + 1).count() <= held_ids:
+        df = df.join(F.broadcast(ids.withColumn("_trusted", F.lit(1))), here, "left")
+        return _buckets(df, "_trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("_trusted"), F.lit(0)).alias("target"))
+    raw = _buckets(df).groupBy("bucket").agg(F.count("*").alias("raw"))
+    target = _buckets(df.join(ids.hint("merge"), here, "left_semi")).groupBy("bucket").agg(F.count("*").alias("target"))
+    return raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
 
 
 def bucket_weights(counts: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
@@ -121,37 +143,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("doc_id")
 
 
-def judge(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """For each row of docs: its id, the base counts, base_failed, llr (mean log ratio; 0 without words) and kept.
+def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with _judged: the base counts, base_failed, llr (mean log ratio; 0 without words) and kept of each row.
 
-    The words of a text never leave their task: each task sums its own texts before the exchange.  Ratios are summed as
-    whole numbers, so the order of the sum cannot change a verdict.
+    A row is judged where it is read and goes nowhere.  Ratios are summed as whole numbers, so the order of the sum cannot
+    change a verdict.
     """
-    whole = json.dumps([round(w * UNIT) for w in weights])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = base_counts(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_given")), "_given")
-    df = df.select(F.monotonically_increasing_id().alias("_row"), "_id", *counts, "_words")
-    df = df.select("*", F.posexplode_outer("_words").alias("_at", "_word"), F.from_json(F.lit(whole), "array<bigint>").alias("_weights"))
-    ratio = f"case when _word is null then 0L else _weights[{_ONE}] + case when _at + 1 < size(_words) then _weights[{_TWO}] else 0L end end"
-    df = df.groupBy("_row").agg(F.first("_id").alias(doc_id), *[F.first(c).alias(c) for c in counts], F.sum(F.expr(ratio)).alias("_sum"))
+    df = base_counts(docs.select(F.struct("*").alias("_all"), F.col(text).alias("_given")), "_given")
+    held = f"array({', '.join(f'{round(w * UNIT)}L' for w in weights)})"
+    one, two, end = (f"_weights[xxhash64({x}) & {BUCKETS - 1}L]" for x in ("w", "w, get(_words, i + 1)", "element_at(_words, -1)"))
+    # the last word has no next one, so its pair hashes as the word alone: taken off again
+    ratio = f"case when n_words = 0 then 0L else aggregate(transform(_words, (w, i) -> {one} + {two}), -{end}, (s, x) -> s + x) end".replace("_weights", held)
+    df = df.select("_all", *counts, F.expr(ratio).alias("_sum"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumn("base_failed", failed).withColumn("llr", F.col("_sum") / (UNIT * F.greatest(2 * F.col("n_words") - 1, F.lit(1))))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_row", "_sum")
+    llr = F.col("_sum") / (UNIT * F.greatest(2 * F.col("n_words") - 1, F.lit(1)))
+    df = df.select("_all", *counts, failed.alias("base_failed"), llr.alias("llr"))
+    verdict = F.struct(*counts, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).alias("kept"))
+    return df.select("_all.*", verdict.alias("_judged"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The verdict on each row of docs (doc_id, text): doc_id, counts, base_failed, llr and kept."""
     weights = bucket_weights(bucket_counts(docs, trusted_ids(labels)))
-    return judge(docs, weights, threshold=threshold)
+    return judged(docs.select("doc_id", "text"), weights, threshold=threshold).select("doc_id", "_judged.*")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    key = F.xxhash64("doc_id", "text")
     weights = bucket_weights(bucket_counts(docs, trusted_ids(labels)))
-    judged = judge(docs.select(key.alias("_key"), "text"), weights, doc_id="_key", threshold=threshold)
-    kept = judged.filter("kept").select("_key").distinct()
-    return docs.join(kept, key == F.col("_key"), "left_semi")
+    return judged(docs, weights, threshold=threshold).filter("_judged.kept").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

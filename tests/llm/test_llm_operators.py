@@ -135,8 +135,24 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(frame(spark, rows).limit(0), labels).count() == 0
 
 
-def test_long_texts_take_whole_hashes(spark, monkeypatch):
-    assert spark.createDataFrame([(1, "a b c " * 4 + "z")], DOCS).transform(quality_rules.base_counts).first()["n_repeat_words"] == 12
+@pytest.mark.parametrize("places", [3, 60])
+def test_repeated_windows_with_hashes_that_clash(spark, places):
+    """3 bits of place: all longer texts are sorted by words; 60: three bits of hash, so windows of equal hash differ."""
+    rng = random.Random(places)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    got = plain(quality_rules.base_counts(frame(spark, rows), places=places), "doc_id", "n_repeat_words")
+    assert got == sorted(str((x[0], x[5])) for x in brute.quality(rows, set(), 8, 1.0, 0.0))
+
+
+@pytest.mark.parametrize("held", [100, 0])
+def test_bucket_counts_by_broadcast_and_by_shuffle(spark, held):
+    rows = EDGES + [(i, f"w{i % 5} x y") for i in range(20, 40)]
+    ids = spark.createDataFrame([(i,) for i in (20, 21, 25, 6, 99)], "doc_id long")
+    counts = {r["bucket"]: (r["raw"], r["target"]) for r in quality_rules.bucket_counts(frame(spark, rows), ids, held_ids=held).collect()}
+    words = [len((t or "").encode().split()) for _, t in rows]
+    both = [max(0, 2 * n - 1) for n in words]
+    assert sum(x for x, _ in counts.values()) == sum(both)
+    assert sum(y for _, y in counts.values()) == sum(n for (i, _), n in zip(rows, both, strict=True) if i in (20, 21, 25, 6))
 
 
 @pytest.mark.parametrize("held", [1 << 20, 0])
