@@ -227,6 +227,23 @@ def test_shards_fit(spark):
     assert sharding.extendible_shards(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_only_oversized_buckets_split(spark):
+    """One row of a megabyte and 199 of ten bytes: the rows beside the large one fit after few bits."""
+    rows = [(i, "z" * 10) for i in range(199)] + [(500, "y" * (1 << 20))]
+    got = sharding.extendible_shards(frame(spark, rows), 16384).toPandas()
+    alone = got[got.doc_id == 500].iloc[0]
+    assert alone.oversized and (got.shard == alone.shard).sum() == 1
+    assert got.shard.nunique() == alone.depth + 1  # one shard beside each bit of its path
+    assert got[got.doc_id != 500].depth.min() == 1
+
+
+def test_shards_of_one_id_fit(spark):
+    rows = [(7, "a" * 1500)] * 25 + [(7, chr(98 + k) * 1500) for k in range(20)]
+    got = sharding.extendible_shards(frame(spark, rows), 10000).toPandas()
+    assert len(got) == 45 and not got.oversized.any()
+    assert (got.groupby("shard").n_bytes.sum() == got.groupby("shard").shard_bytes.first()).all() and got.shard_bytes.max() <= 10000
+
+
 def test_rollup_commits_once(spark):
     rollup = token_counts.Rollup(spark, fresh_path(spark, "rollup"))
     docs = spark.createDataFrame([("a", "en", "x y"), ("a", "en", None), (None, None, "z")], "source string, lang string, text string")
