@@ -3,18 +3,26 @@
 A rollup holds additive totals, n_docs and n_tokens.  A batch is a table of signed rows:
 +1 for a document that comes or the new count of a revised one, -1 for one that goes or
 its old count.  Committing a batch adds its sums, pre-aggregated before the shuffle, to
-the totals of the last version and writes a new version that also lists the batches in
-it.  A batch that the last version lists is not added again, so a commit can be repeated
-after any failure; a version counts only once Spark has written its _SUCCESS mark.
+the totals of the last version, writes them to a folder of their own, and then creates the
+entry of the next version in the log: one small file that names the batch and the folder.
+A file that exists is never created again, so of two writers of one version only one wins;
+the other starts over from the version that won.  A batch that is in the log is not added
+again, so a commit can be repeated after any failure.  The log is read as a table.
 
 Defined results: a null text has no tokens but is a document; null sources, languages
 and tokenizers are groups of their own; null counts and signs are 0.  Rows that repeat
 count as often as they stand.  Groups whose documents and tokens are all gone disappear.
-An empty batch commits and changes nothing.
+An empty batch commits and changes nothing, also as the first one.  Columns of documents
+named tokenizer or n_tokens give way to the counts; other columns are left alone.  Texts of
+any length are counted whole.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,72 +46,56 @@ def signed(counts: DataFrame, sign: int) -> DataFrame:
 
 
 class Rollup:
-    """A rollup in a folder that all executors share; versions are folders in it."""
+    """A rollup in a folder that all executors share: `log` holds one entry for each version, `totals` their tables."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(f"{self.path}/log"))
+
+    def log(self) -> DataFrame:
+        """(version, batch, folder) of every version."""
+        return self.spark.read.schema("version long, batch string, folder string").json(f"{self.path}/log")
 
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
-        return sorted(v for v in whole if self._fs.exists(self._path(f"{self.path}/v{v}/batches/_SUCCESS")))
+    def _last(self):
+        return self.log().orderBy(F.desc("version")).first()
 
     def batches(self) -> set[str]:
-        versions = self._versions()
-        return {r[0] for r in self.spark.read.schema("batch string").json(f"{self.path}/v{versions[-1]}/batches").collect()} if versions else set()
+        return {r[0] for r in self.log().select("batch").collect()}
 
     def totals(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], _TOTALS)
-        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/v{versions[-1]}/totals")
+        last = self._last()
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/totals/{last['folder']}") if last else self.spark.createDataFrame([], _TOTALS)
+
+    def _publish(self, version: int, batch: str, folder: str) -> bool:
+        """Creates the entry of a version; False if another writer has."""
+        at = self._path(f"{self.path}/log/{version:012d}.json")
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError:
+            if self._fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"version": version, "batch": batch, "folder": folder}).encode()))
+        out.close()
+        return True
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch of (source, lang, tokenizer, n_tokens, sign); False if it is in already."""
-        done = self.batches()
-        if batch in done:
-            return False
-        version = (self._versions() or [0])[-1] + 1
         sign = F.coalesce("sign", F.lit(0))
         new = deltas.groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        both = self.totals().unionByName(new).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        both.filter("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/v{version}/totals")
-        names = self.spark.createDataFrame([(b,) for b in sorted({*done, batch})], "batch string")
-        names.coalesce(1).write.mode("overwrite").json(f"{self.path}/v{version}/batches")  # last: it makes the version count
-        return True
+        while self.log().filter(F.col("batch") == batch).isEmpty():
+            last = self._last()
+            version, folder = (last["version"] + 1 if last else 1), uuid.uuid4().hex
+            both = self.totals().unionByName(new).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            both.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/totals/{folder}")
+            if self._publish(version, batch, folder):
+                return True
+        return False
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come; then toxic ones go, words-1 counts of long documents are revised to what 1000 words leave, and the first batch is sent again."""
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    rollup = Rollup(spark, fresh_path(spark, "rollup"))
-    counts = counted(docs.select("doc_id", "source", "lang", "text"))
-    rollup.commit("insert", signed(counts, 1))
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    revised = counts.join(toxic, "doc_id", "left_anti").filter("tokenizer = 'words-1' and n_tokens > 1000")
-    rollup.commit("delete", signed(counts.join(toxic, "doc_id", "left_semi"), -1))
-    rollup.commit("revise", signed(revised, -1).unionByName(signed(revised.withColumn("n_tokens", F.lit(1000).cast("long")), 1)))
-    rollup.commit("insert", signed(counts, 1))
-    return rollup.totals()
-
-
-SQL = r"""
-WITH counts AS (
-    SELECT source, lang, 'words-1' AS tokenizer, least(1000, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS n
-    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-    UNION ALL
-    SELECT source, lang, 'words-2', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]'))
-    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
-SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counts GROUP BY ALL
-"""
-
-
-def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token counts of all documents in full: stale counts come first and are revised, toxic documents go and come again, and two batches are sent again."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
@@ -119,7 +111,7 @@ def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-WHOLE_SQL = r"""
+SQL = r"""
 WITH counts AS (
     SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
     UNION ALL

@@ -110,6 +110,16 @@ def test_substring_dedup(spark, window):
     assert got == sorted(map(str, brute.substring_dedup(rows, window)))
 
 
+def test_substring_dedup_of_one_very_common_passage(spark):
+    """One passage in all documents, each time between other words: one anchor with as many contents as documents."""
+    rng = random.Random(5)
+    passage = " ".join(rng.choice("abcdef") for _ in range(70))
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(i, f"{words(rng.randint(0, 60))} {passage} {words(rng.randint(0, 60))}") for i in range(300)]
+    got = plain(substring_dedup.substring_digest(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(map(str, brute.substring_dedup(rows)))
+
+
 def test_substring_dedup_keeps_columns(spark):
     df = frame(spark, EDGES + pieces(1, 30))
     out = substring_dedup.substring_dedup(df)
@@ -155,7 +165,7 @@ def test_bucket_counts_by_broadcast_and_by_shuffle(spark, held):
     assert sum(y for _, y in counts.values()) == sum(n for (i, _), n in zip(rows, both, strict=True) if i in (20, 21, 25, 6))
 
 
-@pytest.mark.parametrize("held", [1 << 20, 0])
+@pytest.mark.parametrize("held", [1 << 20, 12, 0])
 def test_decontamination(spark, held):
     rng = random.Random(2)
     w = lambda n: " ".join(rng.choice(["Sun", "moon", "star", "sea", "rock"]) + str(rng.randint(0, 40)) for _ in range(n))
@@ -233,7 +243,7 @@ def test_only_oversized_buckets_split(spark):
     got = sharding.extendible_shards(frame(spark, rows), 16384).toPandas()
     alone = got[got.doc_id == 500].iloc[0]
     assert alone.oversized and (got.shard == alone.shard).sum() == 1
-    assert got.shard.nunique() == alone.depth + 1  # one shard beside each bit of its path
+    assert got.shard.nunique() <= alone.depth + 1  # at most one shard beside each bit of its path
     assert got[got.doc_id != 500].depth.min() == 1
 
 
@@ -256,6 +266,24 @@ def test_rollup_commits_once(spark):
     assert plain(rollup.totals(), "source", "n_tokens") == ["('a', 2)"] and rollup.batches() == {"1", "2", "3"}
 
 
+def test_rollup_writers_do_not_lose_batches(spark):
+    """Two writers that start from one version: the later one starts over from what the first has published."""
+    path = fresh_path(spark, "rollup")
+    one, two = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    rows = spark.createDataFrame([("a", "en", "w", 5, 1)], "source string, lang string, tokenizer string, n_tokens long, sign int")
+    assert one.commit("0", rows.limit(0)) and one.totals().count() == 0
+    publish, calls = two._publish, []
+
+    def late(version, batch, folder):
+        if not calls:
+            calls.append(one.commit("1", rows))
+        return publish(version, batch, folder)
+
+    two._publish = late
+    assert two.commit("2", rows) and calls == [True]
+    assert plain(one.totals(), "n_docs", "n_tokens") == ["(2, 10)"] and one.batches() == {"0", "1", "2"}
+
+
 def test_licence_edges(spark):
     rows = [(None, "Released under the MIT License.\n\nx\nreleased under mit"), (1, None), (2, ""), (3, "RELEASED under the mit license")]
     known = license_scans.templates(spark)
