@@ -11,16 +11,17 @@ The number of hashes follows the item's size, not the document's: short items ar
 found in documents of any length, and no item that meets the bound is missed.
 Candidates are verified by counting shared shingles.
 
-Items up to ITEM_HASHES shingles in all, counted first, are broadcast and every
-document is settled in the task that reads it.  Beyond that, documents and item
-sketches meet in a shuffle: items are partitioned by powers of two of their size,
-and documents send a hash only if it is not above the largest one that a partition
-keeps.
+Items are partitioned by powers of two of their size.  Each partition has its own key space
+and its own bound, the largest hash that it keeps, and a document looks up or sends a hash
+in a partition only up to that bound.  Partitions with up to ITEM_HASHES shingles in all,
+counted first, the smallest ones before, are broadcast, and every document is settled with
+them in the task that reads it.  The others meet the documents in a shuffle by partition and
+hash, of two written or freshly dealt tables, so Spark can split a very common hash.
 
 Defined results: null or wordless texts and items match nothing.  Items that repeat
 an id are items of their own; the pair gets the best of them, as it does for rows of
 documents with one id.  Null ids pair as null.  Empty tables give an empty result.
-Only ids and texts are read.
+Only ids and texts are read, so other columns of any name do no harm.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -79,21 +80,39 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _part(n: np.ndarray) -> np.ndarray:
+    """The partition of an item of n shingles, at least one."""
+    return np.frexp(n.astype(np.float64))[1] - 1
+
+
+def _partitions(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.uint64]]:
+    """For each partition by size: its sketches' hashes in order, their items, and the largest hash."""
+    n, out = np.diff(bounds), []
+    for part in np.unique(_part(n)).tolist():
+        mine = np.flatnonzero(_part(n) == part)
+        kept = np.minimum(_kept(n[mine], percent), n[mine])
+        keys = hashes[ragged(bounds[:-1][mine], kept)]  # each set is sorted: its lowest hashes
+        order = np.argsort(keys, kind="stable")
+        out.append((keys[order], np.repeat(mine, kept)[order], keys.max()))
+    return out
+
+
 def _settle(percent: int, held):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widths, hashes, bounds = held.value
         n = np.diff(bounds)
-        at = ragged(bounds[:-1], np.minimum(_kept(n, percent), n))  # each set is sorted: its lowest hashes
-        item = np.repeat(np.arange(len(n)), np.minimum(_kept(n, percent), n))
-        order = np.argsort(hashes[at], kind="stable")
-        keys, item = hashes[at][order], item[order]
+        parts = _partitions(hashes, bounds, percent)
         for batch in batches:
             for a, _, h, cut in _document_sets(batch.column(1), widths):
-                low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-                hit = np.flatnonzero(high > low)
-                doc = np.searchsorted(cut, hit, "right") - 1
-                times = (high - low)[hit]
-                pairs = np.unique(np.stack([np.repeat(doc, times), item[ragged(low[hit], times)]], axis=1), axis=0)
+                found = [np.zeros((0, 2), np.int64)]
+                for keys, item, largest in parts:
+                    at = np.flatnonzero(h <= largest)
+                    low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+                    hit = np.flatnonzero(high > low)
+                    doc = np.searchsorted(cut, at[hit], "right") - 1
+                    times = (high - low)[hit]
+                    found.append(np.stack([np.repeat(doc, times), item[ragged(low[hit], times)]], axis=1))
+                pairs = np.unique(np.concatenate(found), axis=0)
                 common = np.array([np.isin(hashes[bounds[i] : bounds[i + 1]], h[cut[d] : cut[d + 1]], assume_unique=True).sum() for d, i in pairs.tolist()], np.int64)
                 size = n[pairs[:, 1]]
                 good = common >= _needed(size, percent)
@@ -103,15 +122,17 @@ def _settle(percent: int, held):
     return emit
 
 
-def _send(widths: list[int], largest: int):
-    """Distinct hashes of each document that some item may keep."""
+def _send(widths: list[int], largest: dict[int, int]):
+    """Distinct hashes of each document, for each partition those up to its bound."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, h, cut in _document_sets(batch.column(2), widths):
-                at = np.flatnonzero(h <= np.uint64(largest))
-                doc = pa.array(np.searchsorted(cut, at, "right") - 1 + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(h[at].view(np.int64))], ["doc_id", "tx", "hash"])
+                for part, bound in largest.items():
+                    at = np.flatnonzero(h <= np.uint64(bound))
+                    doc = pa.array(np.searchsorted(cut, at, "right") - 1 + a)
+                    columns = [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(np.full(len(at), part, np.int32)), pa.array(h[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tx", "part", "hash"])
 
     return emit
 
@@ -139,19 +160,24 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, percent:
     """(doc_id, item_id, n_item, n_common, containment) of docs (doc_id, text) that hold items (item_id, text)."""
     spark = docs.sparkSession
     given = items.select(F.col("item_id").cast("long").alias("item"), "text")
-    sets = spool(given.mapInArrow(_item_sets(size), "item long, hashes array<long>, width int").filter("width > 0"), "items")
-    facts = sets.agg(F.sum(F.size("hashes")).alias("total"), F.sort_array(F.collect_set("width")).alias("widths")).first()
+    sets = given.mapInArrow(_item_sets(size), "item long, hashes array<long>, width int").filter("width > 0")
+    sets = spool(sets.withColumn("part", F.floor(F.log2(F.size("hashes") + 0.5)).cast("int")), "items")
+    facts = sets.groupBy("part").agg(F.sum(F.size("hashes")).alias("total"), F.collect_set("width").alias("widths")).orderBy("total", "part").collect()  # at most one row for each power of two
+    widths = sorted({w for r in facts for w in r["widths"]})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not facts["total"]:
-        found = texts.limit(0).selectExpr("doc_id", "0L as item_id", "0L as n_item", "0L as n_common")
-    elif facts["total"] <= item_hashes:
-        rows = sets.select("item", "hashes").collect()  # at most item_hashes hashes
+    total, small, large = 0, [], []
+    for r in facts:
+        total += r["total"]
+        (small if total <= item_hashes else large).append(r["part"])
+    found = texts.limit(0).selectExpr("doc_id", "0L as item_id", "0L as n_item", "0L as n_common")
+    if small:
+        rows = sets.filter(F.col("part").isin(small)).select("item", "hashes").collect()  # at most item_hashes hashes
         parts = [np.sort(np.array(r["hashes"], np.int64).view(np.uint64)) for r in rows]
-        held = spark.sparkContext.broadcast((facts["widths"], np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
+        held = spark.sparkContext.broadcast((widths, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
         names = spark.createDataFrame([(k, r["item"]) for k, r in enumerate(rows)], "item long, item_id long")
-        found = texts.mapInArrow(_settle(percent, held), _PAIRS).join(F.broadcast(names), "item").drop("item")
-    else:
-        found = _by_shuffle(texts, sets, facts["widths"], percent)
+        found = found.unionByName(texts.mapInArrow(_settle(percent, held), _PAIRS).join(F.broadcast(names), "item").drop("item"))
+    if large:
+        found = found.unionByName(_by_shuffle(texts, sets.filter(F.col("part").isin(large)), widths, percent))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_common") / F.col("n_item"), "n_item", "n_common")).alias("x"))
     return best.select("doc_id", "item_id", "x.n_item", "x.n_common", (F.col("x.n_common") / F.col("x.n_item")).alias("containment"))
 
@@ -160,11 +186,10 @@ def _by_shuffle(texts: DataFrame, sets: DataFrame, widths: list[int], percent: i
     texts = texts.withColumn("tx", F.xxhash64(F.coalesce("text", F.lit(""))))
     rank = F.expr(f"transform(hashes, h -> h ^ {-(1 << 63)}L)")  # unsigned order as signed order
     items = sets.withColumn("uid", F.xxhash64("item", "hashes")).withColumn("low", F.slice(F.sort_array(rank), 1, (F.size("hashes") * (100 - percent) / 100).cast("int") + 1))
-    parts = items.groupBy(F.floor(F.log2(F.size("hashes"))).alias("part")).agg(F.max(F.element_at("low", -1)).alias("largest"))
-    largest = (parts.agg(F.max("largest")).first()[0] ^ -(1 << 63)) & ((1 << 64) - 1)
-    keys = items.select("uid", F.explode("low").alias("k")).select("uid", F.expr(f"k ^ {-(1 << 63)}L").alias("hash"))
-    sent = texts.select("doc_id", "tx", "text").mapInArrow(_send(widths, largest), "doc_id long, tx long, hash long")
-    pairs = spool(sent.join(keys, "hash").select("doc_id", "tx", "uid").distinct(), "pairs")
+    bound = {r["part"]: (r["x"] ^ -(1 << 63)) & ((1 << 64) - 1) for r in items.groupBy("part").agg(F.max(F.element_at("low", -1)).alias("x")).collect()}  # one row a partition
+    keys = spool(items.select("uid", "part", F.explode("low").alias("k")).select("uid", "part", F.expr(f"k ^ {-(1 << 63)}L").alias("hash")), "keys")
+    sent = texts.select("doc_id", "tx", "text").mapInArrow(_send(widths, bound), "doc_id long, tx long, part int, hash long")
+    pairs = spool(sent.join(keys, ["part", "hash"]).select("doc_id", "tx", "uid").distinct(), "pairs")
     full = pairs.join(items.select("uid", "item", "hashes").distinct(), "uid")
     # a document's items in parts of bounded number, so that one that holds very many stays spread
     full = full.withColumn("part", F.pmod("uid", F.lit(64))).groupBy("doc_id", "tx", "part").agg(F.collect_list(F.struct("item", "hashes")).alias("items"))
