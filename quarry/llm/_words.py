@@ -113,6 +113,14 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    def plain(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space behind each, and where each begins; one place more than words."""
+        length = self.end - self.start
+        at = np.concatenate([[0], np.cumsum(length + 1)])
+        out = np.full(int(at[-1]), 32, np.uint8)
+        out[ragged(at[:-1], length)] = self.data[ragged(self.start, length)]
+        return out.tobytes(), at
+
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of `size` words inside one document, and the index of each run's first word."""
         n = len(self.hash) - size + 1

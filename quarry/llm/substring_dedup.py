@@ -15,14 +15,17 @@ that equal windows share wherever they stand; windows with one anchor form segme
    repeats that begin or end inside a segment.
 5. The removed spans meet the texts again by document.
 
-A class, an anchor or a document may hold any share of the rows: classes and anchors
-are reduced by partial minima.  The join by anchor takes all rows of one anchor to one
-task, as the check tool notes (see README).
+Contents are compared by two digests: a polynomial hash of the words and 64 bits of the
+BLAKE2b digest of their bytes, so no accident of the one makes different passages equal.
+
+A class, an anchor or a document may hold any share of the rows: classes and anchors are
+reduced by partial minima, and the joins that follow have written tables on both sides, so
+Spark can split the rows of one anchor, content or window over tasks.
 
 Defined results: a null text has no words; documents without a repeat keep all words.
 A null id is never smaller than another: such rows lose nothing and take nothing from
 others.  Rows with equal ids never take words from each other.  Texts shorter than a
-window lose nothing.  An empty table gives an empty result.  Only id and text are read;
+window lose nothing; texts of any length are read whole.  An empty table gives an empty result.  Only id and text are read;
 every input row gives one output row.
 """
 
@@ -41,7 +44,7 @@ from ._tables import discard, read, release, spool
 from ._words import Words, text_slices
 
 WINDOW = 50
-_SEGMENT = "doc_id long, mark int, first int, last int, anchor long, content long"
+_SEGMENT = "doc_id long, mark int, first int, last int, anchor long, content long, check long"
 
 
 def _mark() -> Column:
@@ -52,21 +55,31 @@ def _long(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _digests(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of each span of words, joined by one space."""
+    text = words.plain()
+    raw, at = memoryview(text[0]), text[1]
+    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(at[start].tolist(), (at[end] - 1).tolist(), strict=True)], np.uint64)
+
+
 def _segments(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0), batch.column(1)
             for a, _, data, offsets in text_slices(batch.column(2)):
-                doc, first, last, anchor, content = segments(Words(data, offsets), window)
+                words = Words(data, offsets)
+                doc, first, last, anchor, content = segments(words, window)
+                base = words.first[:-1][doc]
+                check = _digests(words, base + first, base + last + window)
                 take = pa.array(doc + a)
-                columns = [ids.take(take), marks.take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), _long(anchor), _long(content)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "first", "last", "anchor", "content"])
+                columns = [ids.take(take), marks.take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), _long(anchor), _long(content), _long(check)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "first", "last", "anchor", "content", "check"])
 
     return emit
 
 
 def _windows(window: int):
-    """From (doc_id, mark, text, spans): each window of the spans once, with its hash."""
+    """From (doc_id, mark, text, spans): each window of the spans once, with its digests."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +94,9 @@ def _windows(window: int):
                 which = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
                 start = at + words.first[:-1][doc[which]]
-                h = spans.hash(start, start + window)
                 take = pa.array(doc[which] + a)
-                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), _long(h)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "first", "hash"])
+                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), _long(spans.hash(start, start + window)), _long(_digests(words, start, start + window))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "first", "hash", "check"])
 
     return emit
 
@@ -141,23 +153,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
     texts = texts.filter("doc_id is not null and text is not null")
     found = spool(texts.mapInArrow(_segments(window), _SEGMENT), "segments")
-    anchors = found.groupBy("anchor").agg(*[f(c).alias(f"{n}_{c}") for c in ("doc_id", "content") for n, f in (("min", F.min), ("max", F.max))])
-    anchors = anchors.filter("min_doc_id < max_doc_id").select("anchor", (F.col("min_content") < F.col("max_content")).alias("several"))
+    anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("content", "check") for f in (F.min, F.max)])
+    anchors = spool(anchors.filter("a < b").select("anchor", F.expr("min_content < max_content or min_check < max_check").alias("several")), "anchors")
+    release(docs.sparkSession)
     shared = spool(found.join(anchors, "anchor"), "shared")
-    discard(found)
+    discard(found, anchors)
     release(docs.sparkSession)
-    classes = spool(shared.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner")), "classes")
-    judged = spool(shared.join(classes, ["anchor", "content"]).filter("several or doc_id > owner").select("doc_id", "mark", "first", "last", (F.col("doc_id") == F.col("owner")).alias("owns")), "judged")
+    same = ["anchor", "content", "check"]
+    classes = spool(shared.groupBy(*same).agg(F.min("doc_id").alias("owner")), "classes")
+    judged = spool(shared.join(classes, same).filter("several or doc_id > owner").select("doc_id", "mark", "first", "last", (F.col("doc_id") == F.col("owner")).alias("owns")), "judged")
     discard(shared, classes)
     release(docs.sparkSession)
     owners = judged.filter("owns").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    singles = spool(texts.join(owners, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(_windows(window), "doc_id long, mark int, first int, hash long"), "windows")
+    singles = texts.join(owners, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(_windows(window), "doc_id long, mark int, first int, hash long, check long")
+    singles = spool(singles, "windows")
     release(docs.sparkSession)
-    first = singles.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).filter("owner < _last").select("hash", "owner")
-    late = singles.join(first, "hash").filter("doc_id > owner").select("doc_id", "mark", "first", F.col("first").alias("last"))
+    first = singles.groupBy("hash", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).filter("owner < _last").select("hash", "check", "owner")
+    first = spool(first, "first")
+    late = singles.join(first, ["hash", "check"]).filter("doc_id > owner").select("doc_id", "mark", "first", F.col("first").alias("last"))
     gone = judged.filter("not owns").select("doc_id", "mark", "first", "last").unionByName(late)
     spans = spool(gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
-    discard(judged, singles)
+    discard(judged, singles, first)
     release(docs.sparkSession)
     return spans
 
