@@ -151,7 +151,7 @@ def judged(docs: DataFrame, weights: list[float], text: str = "text", threshold:
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     df = base_counts(docs.select(F.struct("*").alias("_all"), F.col(text).alias("_given")), "_given")
-    held = f"array({', '.join(f'{round(w * UNIT)}L' for w in weights)})"
+    held = f"cast(split('{','.join(str(round(w * UNIT)) for w in weights)}', ',') as array<bigint>)"  # one constant for the planner
     one, two, end = (f"_weights[xxhash64({x}) & {BUCKETS - 1}L]" for x in ("w", "w, get(_words, i + 1)", "element_at(_words, -1)"))
     # the last word has no next one, so its pair hashes as the word alone: taken off again
     ratio = f"case when n_words = 0 then 0L else aggregate(transform(_words, (w, i) -> {one} + {two}), -{end}, (s, x) -> s + x) end".replace("_weights", held)
@@ -172,7 +172,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     weights = bucket_weights(bucket_counts(docs, trusted_ids(labels)))
-    return judged(docs, weights, threshold=threshold).filter("_judged.kept").select(*docs.columns)
+    # exploded, not filtered: a filter would be moved below the columns that it needs and have them computed again and again
+    return judged(docs, weights, threshold=threshold).select(*docs.columns, F.explode(F.expr("case when _judged.kept then array(1) end")).alias("_kept")).drop("_kept")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
