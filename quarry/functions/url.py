@@ -100,3 +100,73 @@ def item_page(url: Column) -> Column:
 def media_or_feed(url: Column) -> Column:
     """The path ends in an extension of media, archives or feeds."""
     return F.lower(path(url)).rlike(r"\.(mp3|m4a|wav|ogg|flac|aac|m3u8?|pls|mp4|mov|avi|webm|jpe?g|png|gif|svg|webp|ico|css|js|json|xml|rss|atom|zip|gz|rar|pdf)$")
+
+
+# fixed values: what addresses of a person's form, of log-in pages, of players and of people look like
+PERSON_PARAMS = ["id", "uid", "user", "userid", "user_id", "to", "from", "person", "profile", "member", "contactid"]
+PERSON_FORM = r"(?:\bemail\b|\bmails\b|\bmailto\b|\bmessage\b|\bsend\b)"
+AUTH_PATH = r"(?:^|/)(?:auth|login|log[-_]?in|logout|log[-_]?out|register|sign[-_]?in|sign[-_]?up|signup|fav_?icon|cdn-cgi|email-protection)(?:/|$|\.)"
+AUTH_QUERY = r"(?:^|[?&])a=|fav_?icon|type=(?:program|episode|channel|homepage)"
+PLAYER_PATH = r"(?:flashplayer|streambox|mediaplayer|audioplayer)"
+PLAYER_PARAMS = ["show", "archive", "episode", "player", "stream", "program", "track", "song", "audio", "video", "clip"]
+PEOPLE_PATH = r"/(?:djs|dj|hosts|host|presenters|presenter|people|person|personality|onair|on-air|staff|staff-directory|team|author|contributors|reporters)(?:s)?/"
+# fixed values: categories of pages in order, by label and address
+PAGE_CATEGORIES = [
+    ("send_music", r"send[\s\-_]?us[\s\-_]?(your)?[\s\-_]?music|send[\s\-_]?(your|us)[\s\-_]?music|submit[\s\-_]?(your)?[\s\-_]?music|music[\s\-_]?submissions?|give[\s\-_]?us[\s\-_]?(your)?[\s\-_]?music|promo"),
+    ("submission_guidelines", r"submission[\s\-_]?guidelines|how[\s\-_]?to[\s\-_]?submit|(guidelines|requirements)\b"),
+    ("dj_directory", r"\bdjs?\b|dj(?:s|'s)?\b|disc[\s\-]?jockeys?\b|deejays?\b|air[\s\-]?staff\b|on[\s\-]?air[\s\-]?(personalities|staff|hosts)\b|\bhosts?\b|\bdjs?(?:[\s\-]?(and|&)[\s\-]?staff)?(\s+(directory|pages|email|list))?"),
+    ("contact", r"contact[\s\-_]?(us)?\b|get[\s\-_]?in[\s\-_]?touch\b|email[\s\-_]?us\b|mail[\s\-_]?us\b|reach[\s\-_]?(us|out)\b|\bdirectory\b|staff(?:[\s\-_]?directory)?\b|\bpeople\b|\bteam\b"),
+    ("programming", r"programming\b|program[\s\-_]?director\b|\bshows?\b|\bschedule\b"),
+    ("about", r"\babout([\s\-_]?us)?\b$"),
+]
+CATEGORY_ORDER = ["send_music", "submission_guidelines", "dj_directory", "programming", "contact", "about", "other"]
+
+
+def _has_param(url: Column, names: list[str]) -> Column:
+    return F.lower(query(url)).rlike(f"(?:{'|'.join(names)})=")
+
+
+def person_form(url: Column) -> Column:
+    """A form that writes to one person: a path of mail and a parameter that names someone."""
+    return F.lower(path(url)).rlike(PERSON_FORM) & _has_param(url, PERSON_PARAMS)
+
+
+def auth_or_chrome(url: Column) -> Column:
+    """Log-in pages, icons and helpers."""
+    return F.lower(path(url)).rlike(AUTH_PATH) | F.lower(query(url)).rlike(AUTH_QUERY)
+
+
+def player_page(url: Column) -> Column:
+    """A player of one item, by path or parameter."""
+    return F.lower(path(url)).rlike(PLAYER_PATH) | _has_param(url, PLAYER_PARAMS)
+
+
+def person_profile(url: Column) -> Column:
+    """Something stands behind a path of people."""
+    x = F.concat(F.lit("/"), F.regexp_replace(path(url), "^/+", ""))
+    return F.regexp_extract(x, f"(?i){PEOPLE_PATH}/*(.*)$", 1) != ""
+
+
+def page_category(label: Column, url: Column) -> Column:
+    """The first category whose pattern the label or the address has, else `other`."""
+    text = F.lower(F.trim(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(url, F.lit("")))))
+    out = F
+    for name, pattern in PAGE_CATEGORIES:
+        out = out.when(text.rlike(pattern), name)
+    return out.otherwise("other")
+
+
+def page_address(url: Column) -> Column:
+    """Scheme, host with port, and path without slash at the end; no query."""
+    scheme = F.lower(F.regexp_extract(_with_scheme(url), _SCHEME, 1))
+    return F.concat(scheme, F.lit("://"), _authority(url), F.regexp_replace(path(url), "/+$", ""))
+
+
+def quoted(text: Column) -> Column:
+    """Percent-encoded, for links that open a message."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def booking_link(links: Column) -> Column:
+    """The first link whose path speaks of booking; NULL for none."""
+    return F.get(F.filter(links, lambda x: F.lower(path(x)).rlike("book|contact|submi")), 0)
