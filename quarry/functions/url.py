@@ -169,4 +169,4 @@ def quoted(text: Column) -> Column:
 
 def booking_link(links: Column) -> Column:
     """The first link whose path speaks of booking; NULL for none."""
-    return F.get(F.filter(links, lambda x: F.lower(path(x)).rlike("book|contact|submi")), 0)
+    return F.get(F.filter(links, lambda x: F.lower(path(x)).rlike("book|gig|hire[-_]?a[-_]?dj|press[-_]?kit")), 0)
