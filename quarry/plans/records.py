@@ -195,8 +195,8 @@ def read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READ_AGAIN = """
-WITH u AS (SELECT l_orderkey, l_linenumber AS k, 'https://p.org/' || l_partkey % 3 AS u FROM lineitem WHERE l_linenumber IN (1, 2)
-    UNION ALL SELECT DISTINCT l_orderkey, 3, 'https://p.org/1' FROM lineitem WHERE l_orderkey % 2 = 1 UNION ALL SELECT l_orderkey, 4, 'https://p.org/' || l_partkey % 3 FROM lineitem WHERE l_linenumber = 3
+WITH u AS (SELECT l_orderkey, l_linenumber AS k, max('https://p.org/' || l_partkey % 3) AS u FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL
+    UNION ALL SELECT DISTINCT l_orderkey, 3, 'https://p.org/1' FROM lineitem WHERE l_orderkey % 2 = 1 UNION ALL SELECT l_orderkey, 4, max('https://p.org/' || l_partkey % 3) FROM lineitem WHERE l_linenumber = 3 GROUP BY l_orderkey
     UNION ALL SELECT DISTINCT l_orderkey, 5, 'https://p.org/0' FROM lineitem),
 f AS (SELECT l_orderkey, u, min(k) AS k FROM u WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3) GROUP BY ALL)
 SELECT l_orderkey, string_agg(u, ',' ORDER BY k) AS targets FROM f GROUP BY l_orderkey
