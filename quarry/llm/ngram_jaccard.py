@@ -15,8 +15,8 @@ linked when 100 * |A & B| >= percent * |A | B|.
    groups however many keys it has.  Only groups of several components go on; they are cut
    into tiles of bounded size whose sketches are compared in one task.  Pairs within the
    Hamming bound are verified on the whole sets.  As long as that joins components, a tile
-   sends only the nearest pairs that join all it could join; when it joins none any more, it
-   sends all pairs that are left, and none is missed.
+   sends only the nearest pairs that join all it could join; when it joins none any more, or
+   nearly all of these pairs are linked, it sends all pairs that are left, and none is missed.
 jaccard_components leaves out pairs already known to be in one component; jaccard_links
 compares all different sets that share a key and gives every link between them.
 
@@ -47,6 +47,7 @@ SIZE, PERCENT = 4, 85
 PART = 1 << 21  # shingles counted together when looking for common ones
 COMMON = 500  # a shingle is common if one document of so many has it
 MOST_COMMON = 1 << 20  # common shingles left out of the first sketch: 8 MB; any choice is right, this one is quick
+MOSTLY = 0.75  # once so many of the nearest pairs are linked, little is left and all other pairs are sent
 TILE = 4096  # nodes compared in one task: some MB of sketches
 
 
@@ -217,41 +218,50 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     links = spool(_verify(pairs, sets, percent), "links")
     joined = components(links).withColumnRenamed("comp", "linked")
     labels = spool(sets.select("node").join(joined, "node", "left").select("node", F.coalesce("linked", "node").alias("comp")), "labels")
-    discard(pairs, links)
+    discard(links)
     release(docs.sparkSession)
 
     groups = spool(shared.select("low", "node").distinct(), "groups")
     every = False
     while True:
-        more = _across(groups, labels, sets, percent, every)
-        none = more.isEmpty()
-        if not none:
+        groups, rows = _open_groups(groups, labels, sets, pairs)
+        sent, more = _across(rows, sets, percent, every)
+        tried, found = sent.count(), more.count()
+        if found:
             # only components are joined from here on, so the graph shrinks from round to round
             onto = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("onto"))
             old, labels = labels, spool(labels.join(onto, "comp", "left").select("node", F.coalesce("onto", "comp").alias("comp")), "labels")
             discard(old)
-        discard(more)
+        discard(more, sent, rows)
         release(docs.sparkSession)
         if every:
-            discard(groups, shared, sets)
+            discard(groups, shared, sets, pairs)
             return known, labels
-        every = none
+        every = not found or found > tried * MOSTLY
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links (a, b, comp_a, comp_b) between components: all that are left, or enough to join what a tile can join."""
-    named = spool(groups.join(labels, "node"), "named")
-    several = named.groupBy("low").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-    several = spool(several.filter("x < y").select("low", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "several")
-    rows = named.join(several, "low").join(sets.select("node", "n", "sketch"), "node")
+def _open_groups(groups: DataFrame, labels: DataFrame, sets: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Of groups (low, node) those of several components, but for pairs that are compared already; and their nodes with all that tiles need."""
+    rows = spool(groups.join(labels.join(sets.select("node", "n", "sketch"), "node"), "node"), "named")
+    ends = rows.groupBy("low").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("x < y")
+    if compared is not None:
+        ends = ends.join(compared.select("a", "b", F.lit(2).cast("long").alias("size")), ["a", "b", "size"], "left_anti")
+    several = spool(ends.select("low", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "several")
+    left = spool(rows.join(several, "low"), "rows")
+    discard(rows, several, groups)
+    return spool(left.select("low", "node"), "groups"), left
+
+
+def _across(rows: DataFrame, sets: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, comp_a, comp_b) of different components from groups (low, tiles, node, comp, n, sketch), and those of them that are linked.
+
+    All pairs that are left, or enough to join what a tile can join.
+    """
     rows = rows.withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("low", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sketch")
     tiled = rows.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(_tiles(percent, every), "a long, b long, comp_a long, comp_b long")
-    pairs = spool(tiled.distinct(), "pairs")
-    good = _verify(pairs, sets, percent)
-    more = spool(pairs.join(good, ["a", "b"]), "links")
-    discard(named, several, pairs)
-    return more
+    pairs = spool(tiled.distinct(), "sent")
+    return pairs, spool(pairs.join(_verify(pairs, sets, percent), ["a", "b"]), "links")
 
 
 def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +271,8 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     """
     known, shared, sets = _describe_sets(docs, size, percent)
     own = sets.select("node", F.col("node").alias("comp"))
-    links = _across(shared.select("low", "node").distinct(), own, sets, percent, True).select("a", "b")
+    _, rows = _open_groups(spool(shared.select("low", "node").distinct(), "groups"), own, sets, None)
+    links = _across(rows, sets, percent, True)[1].select("a", "b")
     count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     member = known.join(count, "node", "left").select("doc_id", "tx", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return links, member
