@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df in the folder that the cluster shares; a folder of this process where none is named."""
+    """df in the folder that the cluster shares; on a local master, as in tests, a folder of this process where none is named."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="quarry-")
     path = f"{base.rstrip('/')}/dedupe-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,9 @@ class _Reader(HTMLParser):
             self.in_title = True
         elif tag == "form":
             action = (given.get("action") or "").strip()
-            self.forms.append(urljoin(self.base, action) if action else "")
+            target = urljoin(self.base, action) if action else ""
+            if target.lower().startswith(("http://", "https://")):
+                self.forms.append(target)
         elif tag == "a":
             self.close_link()
             self.open = (given.get("href") or "").strip(), []
@@ -57,7 +59,9 @@ class _Reader(HTMLParser):
         if self.open:
             href, words = self.open
             if href.lower().startswith("mailto:"):
-                self.mailtos.append(href[7:])
+                address = href[7:].split("?", 1)[0].strip()
+                if address:
+                    self.mailtos.append(address)
             elif href:
                 full = urljoin(self.base, href)
                 if full.lower().startswith(("http://", "https://")):

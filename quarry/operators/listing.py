@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_PAGE, LARGEST_PAGE = 50, 200
@@ -38,10 +38,10 @@ def page(rows: DataFrame, order: list[Column], limit: int = DEFAULT_PAGE, offset
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def totals(rows: DataFrame, visible: Column) -> DataFrame:
-    """One row: total (visible), full_total and excluded, in one pass."""
+def totals(rows: DataFrame, visible: Column, reasons: dict[str, Column] | None = None) -> DataFrame:
+    """One row: total (visible), full_total, excluded and the count of each reason, in one pass."""
     n = F.count_if(visible)
-    return rows.agg(n.alias("total"), F.count("*").alias("full_total"), (F.count("*") - n).alias("excluded"))
+    return rows.agg(n.alias("total"), F.count("*").alias("full_total"), (F.count("*") - n).alias("excluded"), *[F.count_if(c).alias(k) for k, c in (reasons or {}).items()])
 
 
 def with_flag(rows: DataFrame, others: DataFrame, key: str, flag: str) -> DataFrame:
@@ -52,9 +52,11 @@ def with_flag(rows: DataFrame, others: DataFrame, key: str, flag: str) -> DataFr
 def nested(parents: DataFrame, children: DataFrame, key: str, name: str, order: list[str], most: int | None = None) -> DataFrame:
     """parents with their children as an ordered list, empty for none."""
     rest = [*order, *[c for c in children.columns if c != key and c not in order]]
+    if most is not None:  # ranked first, so no more than these are gathered
+        w = Window.partitionBy(key).orderBy(*rest)
+        children = children.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
     lists = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
-    out = parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array()))
-    return out if most is None else out.withColumn(name, F.slice(name, 1, most))
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array()))
 
 
 def facet(rows: DataFrame, column: str) -> DataFrame:

@@ -91,9 +91,10 @@ def verified(records: DataFrame, results: DataFrame, at: Column) -> DataFrame:
 
 def persist_results(records: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of known records, and one row with how many were stored and how many skipped."""
-    known = records.select("record").distinct()
-    stored, skipped = results.join(known, "record", "left_semi"), results.join(known, "record", "left_anti")
-    return stored, stored.agg(F.count("*").alias("stored")).crossJoin(skipped.agg(F.count("*").alias("skipped")))  # one row each
+    known = records.select("record").distinct().withColumn("_known", F.lit(True))
+    df = results.join(known, "record", "left")
+    counts = df.agg(F.count_if(F.col("_known")).alias("stored"), F.count_if(F.col("_known").isNull()).alias("skipped"))
+    return df.filter("_known").drop("_known"), counts
 
 
 def conflict_reason(values: Column) -> Column:

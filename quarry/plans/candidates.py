@@ -14,14 +14,14 @@ from ..sources import table
 
 
 def station_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CLS2 and FLT16: pages judged as station candidates by address and the head of their text."""
+    """CLS2 and FLT16: pages judged as station candidates by address and their whole source."""
     p = table(spark, sf_dir, "pages")
-    v = C.station_candidate(F.col("url"), F.substring("html", 1, 400), F.lit(None).cast("string"))
+    v = C.station_candidate(F.col("url"), F.col("html"), F.lit(None).cast("string"))
     return p.select("page_id", v["verdict"].alias("verdict"), v["kind"].alias("kind"), v["reason"].alias("reason"))
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\.', '')"
-_TEXT = r"trim(regexp_replace(html[1:400] || ' ', '\s+', ' ', 'g'))"
+_TEXT = r"trim(regexp_replace(html || ' ', '\s+', ' ', 'g'))"
 STATION_VERDICTS = rf"""
 WITH parts AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS d, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS p, {_TEXT} AS t FROM pages),
 s AS (SELECT *, concat_ws(', ', CASE WHEN regexp_matches(t, '{V.STATION_WORDS}') THEN 'station_keyword' END, CASE WHEN regexp_matches(t, '{V.CALLSIGN}') THEN 'callsign' END,

@@ -15,12 +15,12 @@ _TYPES = ["official_website_page", "contact_page", "directory_source", "search_s
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of documents' language (claim: the text's first 40 characters), one for each document."""
+    """Sightings of documents' language (claim: the whole text, by its digest), one for each document."""
     docs = table(spark, sf_dir, "documents")
     host = F.concat(F.lit("https://www."), F.col("source"), F.lit(".org/"), F.col("doc_id"))
     kind = F.array(*[F.lit(t) for t in _TYPES])[F.pmod(F.col("doc_id"), F.lit(len(_TYPES))).cast("int")]
     return docs.select(
-        F.lower(F.substring("text", 1, 40)).alias("claim"), F.lit("text").alias("kind"), F.col("lang").alias("value"), host.alias("source_url"), kind.alias("source_type"),
+        F.md5(F.col("text").cast("binary")).alias("claim"), F.lit("text").alias("kind"), F.col("lang").alias("value"), host.alias("source_url"), kind.alias("source_type"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(100)).cast("int")), "yyyy-MM-dd").alias("discovered_at"),
         F.array(F.concat(F.lit("https://m."), F.col("source"), F.lit(".org/again"))).alias("also_seen_at"),
     )
@@ -34,7 +34,7 @@ def claim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRENGTH = "CASE t " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SOURCE_STRENGTH.items()) + " ELSE 0 END"
 _OBSERVED = f"""
-seen AS (SELECT lower(text[1:40]) AS claim, lang AS value, source || '.org' AS domain, [{", ".join(f"'{t}'" for t in _TYPES)}][doc_id % 5 + 1] AS t,
+seen AS (SELECT md5(text) AS claim, lang AS value, source || '.org' AS domain, [{", ".join(f"'{t}'" for t in _TYPES)}][doc_id % 5 + 1] AS t,
     strftime(DATE '2024-01-01' + (doc_id % 100)::INT, '%Y-%m-%d') AS day, 2 AS sightings FROM documents),
 per_value AS (SELECT claim, value, count(DISTINCT domain) AS domains, max({_STRENGTH}) AS strength, min(day) AS day, sum(sightings) AS n FROM seen GROUP BY claim, value),
 claims AS (SELECT claim, count(*) AS n_values, sum(n)::BIGINT AS n_observations, max(domains) AS most, max(strength) AS strongest,
@@ -55,16 +55,16 @@ _NOW = "2024-06-15"
 
 
 def verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VER3, VER6, AGG5, SCR16 and STR6: states of claims at a given time; a claim's subject was last verified 60 to 159 days before it."""
+    """VER3, VER6, AGG5, SCR16 and STR6: states of claims at a given time; a claim was last verified the earlier the more values and domains it has."""
     now = F.lit(_NOW).cast("timestamp")
-    claims = claim_outcomes(spark, sf_dir).withColumn("verified_at", F.date_format(F.date_sub(F.lit("2024-04-16").cast("date"), F.length("claim") + 10 * F.col("n_values").cast("int")), "yyyy-MM-dd"))
+    claims = claim_outcomes(spark, sf_dir).withColumn("verified_at", F.date_format(F.date_sub(F.lit("2024-04-16").cast("date"), 10 * F.col("n_values").cast("int") + 10 * F.col("first_domains").cast("int")), "yyyy-MM-dd"))
     results = claims.withColumn("status", V.verification_status(F.col("outcome"), is_stale(F.col("verified_at"), now, MAX_AGE_DAYS)))
     return V.status_summary(results)
 
 
 VERIFICATION_SUMMARY = f"""
 WITH {_OBSERVED},
-results AS (SELECT CASE WHEN outcome = 'corroborated' AND DATE '{_NOW}' - (DATE '2024-04-16' - (len(claim) + 10 * n_values)::INT) > {MAX_AGE_DAYS} THEN 'stale'
+results AS (SELECT CASE WHEN outcome = 'corroborated' AND DATE '{_NOW}' - (DATE '2024-04-16' - (10 * n_values + 10 * first_domains)::INT) > {MAX_AGE_DAYS} THEN 'stale'
     WHEN outcome = 'corroborated' THEN 'verified' WHEN outcome = 'conflicting' THEN 'conflicting' ELSE 'unverified' END AS status FROM outcomes)
 SELECT v.status, count(r.status) AS n FROM (SELECT unnest({VERIFICATION_STATES}) AS status) v LEFT JOIN results r USING (status) GROUP BY v.status
 """

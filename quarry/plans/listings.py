@@ -34,8 +34,7 @@ def station_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG1 and AGG2: visible, full and excluded counts in one pass, with counts of each reason, which may overlap."""
     df = _stations(spark, sf_dir)
     hidden, rejected = F.col("confidence") < 0, F.col("format") == "MACHINERY"
-    counts = df.agg(F.count_if(hidden).alias("hidden"), F.count_if(rejected).alias("rejected"))
-    return L.totals(df, ~hidden & ~rejected).join(counts)  # one row each
+    return L.totals(df, ~hidden & ~rejected, {"hidden": hidden, "rejected": rejected})
 
 
 STATION_TOTALS = """
@@ -124,7 +123,7 @@ FACETS = "SELECT DISTINCT n_name AS value, 'country' AS facet FROM customer JOIN
 
 
 def best_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN2 to WIN8, WIN12, WIN13: the three best parts of each brand and type, by size, price and key."""
+    """WIN12: the three best parts of each brand and type, by size, price and key."""
     p = table(spark, sf_dir, "part")
     w = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey")
     return p.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("p_brand", "p_type", "place", "p_partkey")
