@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 PAGE = "title string, text string, links array<struct<href string, anchor string>>, mailtos array<string>, forms array<string>"
 _SILENT = {"script", "style"}
+# fixed values: tags that end a title that was never closed
+_END_TITLE = ["body", "p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "a", "header", "nav", "main", "section"]
 
 
 class _Reader(HTMLParser):
@@ -23,6 +25,8 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
+        if tag in _END_TITLE:
+            self.in_title = False
         if tag in _SILENT:
             self.silent += 1
         elif tag == "title":
@@ -32,6 +36,8 @@ class _Reader(HTMLParser):
             target = urljoin(self.base, action) if action else ""
             if target.lower().startswith(("http://", "https://")):
                 self.forms.append(target)
+            elif not action:  # posts to the page itself
+                self.forms.append("")
         elif tag == "a":
             self.close_link()
             self.open = (given.get("href") or "").strip(), []

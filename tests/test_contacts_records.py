@@ -56,7 +56,7 @@ def test_page_categories(spark, address, label, category):
 def test_links_of_a_page(spark):
     html = '<title>T</title><body><form action="javascript:x()"></form><form action="/send"></form><form></form><a href="mailto:a@x.org?subject=1">a</a><a href="mailto:?x">b</a><a href="/c">c</a>'
     page = one(spark, H.parse_page(F.col("u"), F.col("h")), u="https://x.org/", h=html)
-    assert page["mailtos"] == ["a@x.org"] and page["forms"] == ["https://x.org/send"] and [x["href"] for x in page["links"]] == ["https://x.org/c"]
+    assert page["mailtos"] == ["a@x.org"] and page["forms"] == ["https://x.org/send", ""] and [x["href"] for x in page["links"]] == ["https://x.org/c"]
 
 
 def test_actions_of_stations_without_anything(spark):
