@@ -104,17 +104,17 @@ def _whole_sets(size: int):
 
 
 def _linked(percent: int):
-    """From (a, b, hashes of a, of b): the pairs that are linked."""
+    """From (a, b, ..., hashes of a, of b): the rows of pairs that are linked, without the hashes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+            good, kept = [], batch.num_columns - 2
+            for one, two in zip(batch.column(kept), batch.column(kept + 1), strict=True):
                 x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(range(kept)).filter(pa.array(good, pa.bool_()))
 
     return emit
 
@@ -166,17 +166,19 @@ def _tiles(percent: int, every: bool):
     return emit
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b): sketches first, then whole sets."""
-    brief, whole = sets.select("node", "n", "sketch"), sets.select("node", "hashes")
-    pairs = pairs.select("a", "b")
-    for table, work in ((brief, _close(percent)), (whole, _linked(percent))):
-        one, two = (table.select(*[F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in table.columns]) for k in ("a", "b"))
-        df = pairs.join(one, "a").join(two, "b")
-        pairs = df.select("a", "b", *one.columns[1:], *two.columns[1:]).mapInArrow(work, "a long, b long")
+def _of_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs with these columns of the sets of a and of b, as a_* and b_*."""
+    for k in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns]), k)
     return pairs
 
 
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (a, b, ...) that are linked, by their whole sets."""
+    df = _of_both(pairs, sets, "hashes").select(*pairs.columns, "a_hashes", "b_hashes")
+    return df.mapInArrow(_linked(percent), pairs.schema)
+
+
 def _describe_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, tx, n, node) of every row; (node, low, high, times) of nodes that share keys, by the keys' ends; the sets of these nodes."""
     spark = docs.sparkSession
@@ -215,41 +217,64 @@ def _join_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
         top = count.groupBy("node").agg(F.max_by(hub, F.struct("count", hub)).alias("hub"))
         best = top if best is None else best.unionByName(top)
     pairs = spool(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = spool(_verify(pairs, sets, percent), "links")
+    near = _of_both(pairs, sets, "n", "sketch").select("a", "b", "a_n", "a_sketch", "b_n", "b_sketch").mapInArrow(_close(percent), "a long, b long")
+    links = spool(_verify(near, sets, percent), "links")
     joined = components(links).withColumnRenamed("comp", "linked")
     labels = spool(sets.select("node").join(joined, "node", "left").select("node", F.coalesce("linked", "node").alias("comp")), "labels")
     discard(links)
     release(docs.sparkSession)
 
-    groups = spool(shared.select("low", "node").distinct(), "groups")
+    rows = _group_rows(shared, labels, sets, pairs)
+    discard(shared, pairs)
     every = False
     while True:
-        groups, rows = _open_groups(groups, labels, sets, pairs)
         sent, more = _across(rows, sets, percent, every)
         tried, found = sent.count(), more.count()
         if found:
             # only components are joined from here on, so the graph shrinks from round to round
             onto = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("onto"))
-            old, labels = labels, spool(labels.join(onto, "comp", "left").select("node", F.coalesce("onto", "comp").alias("comp")), "labels")
+            old, labels = labels, spool(_renamed(labels, onto), "labels")
             discard(old)
-        discard(more, sent, rows)
+            if not every:
+                old, named = rows, spool(_renamed(rows.drop("tiles"), onto), "named")
+                rows = _open_groups(named)
+                discard(old, named)
+        discard(more, sent)
         release(docs.sparkSession)
         if every:
-            discard(groups, shared, sets, pairs)
+            discard(rows, sets)
             return known, labels
         every = not found or found > tried * MOSTLY
 
 
-def _open_groups(groups: DataFrame, labels: DataFrame, sets: DataFrame, compared: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Of groups (low, node) those of several components, but for pairs that are compared already; and their nodes with all that tiles need."""
-    rows = spool(groups.join(labels.join(sets.select("node", "n", "sketch"), "node"), "node"), "named")
+def _renamed(table: DataFrame, onto: DataFrame) -> DataFrame:
+    """table with the components that onto (comp, onto) gives, where it has them."""
+    return table.join(onto, "comp", "left").select(*[F.coalesce("onto", c).alias(c) if c == "comp" else c for c in table.columns])
+
+
+def _open_groups(rows: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+    """Rows (low, node, comp, ...) of groups of several components with their number of tiles; not groups of two nodes that are compared already."""
     ends = rows.groupBy("low").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).filter("x < y")
     if compared is not None:
         ends = ends.join(compared.select("a", "b", F.lit(2).cast("long").alias("size")), ["a", "b", "size"], "left_anti")
     several = spool(ends.select("low", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "several")
     left = spool(rows.join(several, "low"), "rows")
-    discard(rows, several, groups)
-    return spool(left.select("low", "node"), "groups"), left
+    discard(several)
+    return left
+
+
+def _group_rows(shared: DataFrame, labels: DataFrame, sets: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+    """(low, node, comp, tiles, n, sketch) of the nodes of open groups: nodes are looked up here, once for all rounds.
+
+    A node meets its component and its sketch as one row with all its groups, of which it has no more than keys.
+    """
+    of_node = shared.groupBy("node").agg(F.collect_set("low").alias("lows")).join(labels, "node")
+    named = spool(of_node.select(F.explode("lows").alias("low"), "node", "comp"), "named")
+    left = _open_groups(named, compared)
+    of_node = left.groupBy("node", "comp").agg(F.collect_list(F.struct("low", "tiles")).alias("at")).join(sets.select("node", "n", "sketch"), "node")
+    rows = spool(of_node.select(F.explode("at").alias("at"), "node", "comp", "n", "sketch").select("at.low", "node", "comp", "at.tiles", "n", "sketch"), "rows")
+    discard(named, left)
+    return rows
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +286,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, every: bool) -> tupl
     rows = rows.select("low", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sketch")
     tiled = rows.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(_tiles(percent, every), "a long, b long, comp_a long, comp_b long")
     pairs = spool(tiled.distinct(), "sent")
-    return pairs, spool(pairs.join(_verify(pairs, sets, percent), ["a", "b"]), "links")
+    return pairs, spool(_verify(pairs, sets, percent), "links")  # their sketches are compared in the tiles
 
 
 def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -271,8 +296,7 @@ def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     """
     known, shared, sets = _describe_sets(docs, size, percent)
     own = sets.select("node", F.col("node").alias("comp"))
-    _, rows = _open_groups(spool(shared.select("low", "node").distinct(), "groups"), own, sets, None)
-    links = _across(rows, sets, percent, True)[1].select("a", "b")
+    links = _across(_group_rows(shared, own, sets), sets, percent, True)[1].select("a", "b")
     count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     member = known.join(count, "node", "left").select("doc_id", "tx", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return links, member
