@@ -1 +1 @@
-"""To be filled."""
+"""Column functions."""

@@ -117,7 +117,7 @@ def claim_value(kind: Column, raw: Column) -> Column:
 
 
 def short_slug(raw: Column) -> Column:
-    return F.substring(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_"), 1, 24)
+    return F.substring(F.btrim(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_"), F.lit("_")), 1, 24)
 
 
 def instructions_in(text: Column) -> Column:

@@ -91,3 +91,33 @@ def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     """Rows that meet all rules, and the others with `failed`: the names of the rules they break."""
     checked = rows.withColumn("failed", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])))
     return checked.filter(F.size("failed") == 0).drop("failed"), checked.filter(F.size("failed") > 0)
+
+
+def _in_order(rows: DataFrame, key: str, value: Column, order: Column, name: str) -> DataFrame:
+    """(key, name): the distinct values of each key in order of their first sight."""
+    seen = rows.select(key, value.alias("_v"), order.alias("_o")).filter("_v is not null").groupBy(key, "_v").agg(F.min("_o").alias("_o"))
+    return seen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"]).alias(name))
+
+
+def merge_duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One record for each key from its rows in order, the first of which is the record.
+
+    rows: name, source_urls, social_urls (map), submission_url, contact_url, city, country, description, station_type,
+    discovered_at, last_observed_at.  Other names are kept as alternates, sources are joined, the first link of a platform
+    and the first known value of a field win, a known type goes before an unknown one, first and last times are widest.
+    """
+    known = lambda c, when: F.min_by(c, F.when(when, F.col(order)))
+    said = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    typed = F.coalesce(known("station_type", said("station_type") & (F.col("station_type") != "unknown")), known("station_type", said("station_type")))
+    fields = [F.min_by("name", order).alias("name"), typed.alias("station_type"), F.count("*").alias("records")]
+    fields += [known(c, F.col(c).isNotNull()).alias(c) for c in ("submission_url", "contact_url")] + [known(c, said(c)).alias(c) for c in ("city", "country", "description")]
+    fields += [F.min(F.nullif("discovered_at", F.lit(""))).alias("discovered_at"), F.max(F.nullif("last_observed_at", F.lit(""))).alias("last_observed_at")]
+    out = rows.groupBy(key).agg(*fields).join(_in_order(rows, key, F.nullif("name", F.lit("")), F.col(order), "_names"), key, "left")
+    urls = rows.select(key, order, F.posexplode("source_urls").alias("_p", "_u"))
+    out = out.join(_in_order(urls, key, F.col("_u"), F.struct(order, "_p"), "source_urls"), key, "left")
+    links = rows.select(key, order, F.explode("social_urls").alias("_k", "_u")).groupBy(key, "_k").agg(F.min_by("_u", order).alias("_u"))
+    socials = links.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_u")))).alias("social_urls"))
+    out = out.join(socials, key, "left")
+    none = F.array().cast("array<string>")
+    alternates = F.filter(F.coalesce("_names", none), lambda n: ~n.eqNullSafe(F.col("name")))
+    return out.withColumns({"alternate_names": alternates, "source_urls": F.coalesce("source_urls", none), "social_urls": F.coalesce("social_urls", F.create_map().cast("map<string,string>"))}).drop("_names")

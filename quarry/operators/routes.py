@@ -30,11 +30,11 @@ def page_routes(pages: DataFrame) -> DataFrame:
 def submission_routes(submissions: DataFrame) -> DataFrame:
     """From (station, submission_url, verified, submission_email)."""
     link = submissions.filter("submission_url is not null").select("station", F.lit("submission_url").alias("kind"), F.lit(1).alias("priority"), F.lit(90).alias("confidence"), F.when(F.col("verified"), "ACTIONABLE").otherwise("DISCOVERED").alias("state"), F.col("submission_url").alias("value"), F.lit(0).alias("place"))
-    mail = submissions.filter("submission_email is not null").select("station", F.lit("submission_email"), F.lit(1), F.lit(85), F.when(_real(F.col("submission_email")), "ACTIONABLE").otherwise("DISCOVERED"), F.col("submission_email"), F.lit(1))
+    mail = submissions.filter("submission_email is not null").select("station", F.lit("submission_email"), F.lit(1), F.lit(85), F.when(real_address(F.col("submission_email")), "ACTIONABLE").otherwise("DISCOVERED"), F.col("submission_email"), F.lit(1))
     return link.union(mail)
 
 
-def _real(email: Column) -> Column:
+def real_address(email: Column) -> Column:
     """An address on a host that is not reserved for tests."""
     return email.isNotNull() & ~reserved_host(F.substring_index(email, "@", -1))
 
@@ -44,7 +44,7 @@ def contact_routes(contacts: DataFrame) -> DataFrame:
     music, way = F.col("role").isin(MUSIC_ROLES), F.coalesce("email", "phone")
     priority = F.when(music & way.isNotNull(), 2).when((F.col("role") == "general") & F.col("email").isNotNull(), 3).when(F.col("role").isin("host", "dj") & way.isNull(), 4)
     confidence = F.when(priority == 2, 72).when(priority == 3, 55).otherwise(35)
-    state = F.when((priority < 4) & _real(F.col("email")), "ACTIONABLE").otherwise("DISCOVERED")
+    state = F.when((priority < 4) & real_address(F.col("email")), "ACTIONABLE").otherwise("DISCOVERED")
     return contacts.select("station", F.concat(F.lit("contact_"), "role").alias("kind"), priority.alias("priority"), confidence.alias("confidence"), state.alias("state"), way.alias("value"), F.lit(3).alias("place")).filter("priority is not null")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import candidates, contacts, evidence, listings, merges, opportunities, pages, records, texts, urls
+from . import candidates, contacts, evidence, listings, merges, opportunities, pages, records, texts, urls, views
 
 FLAGSHIP = "opportunities"
-_ALL = [contacts, records, urls, texts, pages, candidates, evidence, merges, listings, opportunities]
+_ALL = [views, contacts, records, urls, texts, pages, candidates, evidence, merges, listings, opportunities]
 
 
 def queries() -> dict:

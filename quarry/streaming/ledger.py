@@ -74,3 +74,15 @@ def job_status(failures: Column, records: Column, configured: Column, error: Col
     return F.when(~configured, "not_configured").when(error.isNotNull(), "failed").when((failures > 0), "completed_with_failures").otherwise("completed")
 
 
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(run_id, status, at, ended): the state of each job from its events (run_id, status, at), in a table or a stream (output mode update).
+
+    A job is queued, then runs, then ends: an event that comes late never takes a job back, and of two ends the later one counts.
+    Unknown states are no events.  The state kept for a job is one row.
+    """
+    step = F.array_position(F.array(*[F.lit(s) for s in JOB_STATES]), F.col("status"))
+    known = events.withColumn("_step", F.least(step, F.lit(3))).filter("_step > 0")
+    last = F.max(F.struct("_step", "at", "status"))
+    return known.groupBy("run_id").agg(last.alias("x")).select("run_id", "x.status", "x.at", (F.col("x._step") == 3).alias("ended"))
