@@ -16,6 +16,7 @@ _MODULES = {
     "op8_license_scans": "license_scans",
     "op9_substring_dedup": "substring_dedup",
     "op10_token_orc": "token_orc",
+    "op11_minhash_near_dedup": "minhash_dedup",
     "op12_spelling_variants": "spelling_variants",
     "op13_source_divergence": "source_divergence",
 }
