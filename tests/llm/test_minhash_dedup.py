@@ -24,7 +24,7 @@ def result(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def near_copies(seed, groups=6, size=40, words=(9, 20, 60, 300)):
+def near_copies(seed, groups=5, size=24, words=(9, 20, 60, 300)):
     """Copies at all similarities around the threshold."""
     rng, rows = random.Random(seed), []
     for _ in range(groups):
@@ -56,7 +56,7 @@ def test_large_groups_are_cut_by_further_chunks(spark, monkeypatch):
     monkeypatch.setattr(md, "_second_keys", lambda chunks: cuts.append(chunks) or real(chunks))
     rng = random.Random(3)
     shared = [f"s{i}" for i in range(200)]
-    rows = [(i, " ".join(shared + [f"own{rng.randint(0, 9)}x{rng.randint(0, 20)}x{k}" for k in range(rng.randint(10, 30))])) for i in range(150)]
+    rows = [(i, " ".join(shared + [f"own{rng.randint(0, 9)}x{rng.randint(0, 20)}x{k}" for k in range(rng.randint(10, 30))])) for i in range(24)]
     assert result(md.minhash_components(spark.createDataFrame(rows, DOCS))) == expected(rows, 3, 85)
     assert cuts
 
