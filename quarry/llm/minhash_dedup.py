@@ -14,8 +14,9 @@ words, or its whole sequence if it has fewer words.  Sets are linked when 100 *
    so join large groups of copies at once, without pairs within the group.
 4. What is left are keys whose nodes are of several components.  Keys of one least node are one group.  A group of
    more than TILE nodes is cut by its nodes' keys, and what is still larger by a second chunk: a pair within the
-   radius shares keys of two chunks.  Groups are compared in tiles, only across components; signatures within the
-   radius are confirmed on the full sets.  Rounds send the nearest pairs that join components, the last all others.
+   radius shares keys of two chunks.  Groups are compared in tiles, only across components.  Of pairs within the radius
+   those go on whose parity sketches allow a link (their Hamming distance is at most the sets' difference), and are
+   confirmed on the full sets.  Rounds send the nearest pairs that join components, the last all others.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and are their own
 component.  Rows that repeat, or that share an id, are rows of their own, and all rows of the least id are kept.  A
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._parity import forest, set_ids
+from ._parity import _fold, forest, most_apart, set_ids
 from ._tables import discard, read, spool
 from ._words import mix
-from .ngram_jaccard import TILE, _linked, _of_both, _open_groups, _renamed, _sets
+from .ngram_jaccard import TILE, _linked, _of_both, _open_groups, _renamed, _sets, _whole_sets
 
 SIZE, PERCENT = 3, 85
 LOSS = 1e-5  # chance that a link at the threshold is beyond the radius
@@ -149,34 +150,55 @@ def _close(percent: int, radius: int):
     return emit
 
 
-def near_pairs(sig: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.ndarray, percent: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different groups within the radius whose sizes allow a link, and their distances; between two tiles if there are two."""
+def sketches_apart(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of the parity sketches of pairs; longer ones are folded."""
+    length = np.array([len(s) for s in sketches])
+    both = np.minimum(length[x], length[y])
+    out = np.zeros(len(x), np.int64)
+    for size in np.unique(both).tolist():
+        at = np.flatnonzero(both == size)
+        used = np.unique(np.concatenate([x[at], y[at]]))
+        table = np.stack([_fold(np.frombuffer(sketches[i], np.uint8), size) for i in used.tolist()]).view(np.uint64)
+        step = max(1, CELLS // size)
+        for a in range(0, len(at), step):
+            part = at[a : a + step]
+            one, two = (table[np.searchsorted(used, z[part])] for z in (x, y))
+            out[part] = np.bitwise_count(one ^ two).sum(axis=1)
+    return out
+
+
+def near_pairs(t: pa.Table, percent: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components within the radius that may be linked, and their sketches' distances; between two tiles if there are two."""
+    n, comp, tile = (t.column(c).to_numpy() for c in ("n", "comp", "tile"))
+    sig, sketches = _symbols(t.column("sig")), t.column("sketch").to_pylist()
     left = np.flatnonzero(tile == tile.min())
     right = left if tile.min() == tile.max() else np.flatnonzero(tile == tile.max())
     found = [(np.zeros(0, np.int64),) * 3]
     step = max(1, (1 << 20) // len(right))
     for a in range(0, len(left), step):
         i = left[a : a + step]
-        may = (group[i][:, None] != group[right][None, :]) & _may_link(n[i][:, None], n[right][None, :], percent)
+        may = (comp[i][:, None] != comp[right][None, :]) & _may_link(n[i][:, None], n[right][None, :], percent)
         if right is left:
             may &= i[:, None] < right[None, :]
         p, q = np.nonzero(may)
         part = max(1, CELLS // sig.shape[1])
         for c in range(0, len(p), part):
             x, y = i[p[c : c + part]], right[q[c : c + part]]
-            apart = (sig[x] != sig[y]).sum(axis=1)
-            good = apart <= radius
+            within = (sig[x] != sig[y]).sum(axis=1) <= radius
+            x, y = x[within], y[within]
+            apart = sketches_apart(sketches, x, y)
+            good = apart <= most_apart(n[x], n[y], percent)
             found.append((x[good], y[good], apart[good]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _tiles(percent: int, radius: int, every: bool):
-    """From (low, i, j, node, comp, tile, n, sig) in order of low, i and j: pairs of nodes to confirm with their components."""
+    """From (low, i, j, node, comp, tile, n, sig, sketch) in order of low, i and j: pairs of nodes to confirm with their components."""
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        x, y, distance = near_pairs(_symbols(t.column("sig")), t.column("n").to_numpy(), comp, t.column("tile").to_numpy(), percent, radius)
+        x, y, distance = near_pairs(t, percent, radius)
         if not every:
             keep = forest(x, y, distance, comp)
             x, y = x[keep], y[keep]
@@ -202,25 +224,13 @@ def _tiles(percent: int, radius: int, every: bool):
     return emit
 
 
-def _full_sets(size: int):
-    """From (text): (node, hashes)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, h, bounds in _sets(batch.column(0), size):
-                hashes = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, bounds).view(np.int64)), pa.array(hashes, pa.binary())], ["node", "hashes"])
-
-    return emit
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of pairs (a, b, ...) whose full sets are linked."""
     return _of_both(pairs, sets, "hashes").select(*pairs.columns, "a_hashes", "b_hashes").mapInArrow(_linked(percent), pairs.schema)
 
 
-def _open_rows(shared: DataFrame, labels: DataFrame, nodes: DataFrame, compared: DataFrame, chunks: int) -> DataFrame:
-    """(low, node, comp, tiles, n, sig) of groups with several components; groups above TILE are cut by further chunks."""
+def _open_rows(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, compared: DataFrame, chunks: int) -> DataFrame:
+    """(low, node, comp, tiles, n, sig, sketch) of groups with several components; groups above TILE are cut by further chunks."""
     of_node = shared.groupBy("node").agg(F.collect_set("low").alias("lows")).join(labels, "node")  # a node has no more of them than keys
     rows = spool(of_node.select(F.explode("lows").alias("low"), F.lit(-1).alias("chunk"), "node", "comp"), "named")
     left = _open_groups(rows, compared)
@@ -240,13 +250,15 @@ def _open_rows(shared: DataFrame, labels: DataFrame, nodes: DataFrame, compared:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return spool(every.select("low", "node", "comp", "tiles").join(nodes.select("node", "n", "sig"), "node").select("low", "node", "comp", "tiles", "n", "sig"), "rows")
+    every = every.groupBy("node", "comp").agg(F.collect_list(F.struct("low", "tiles")).alias("at"))
+    every = every.join(nodes.select("node", "n", "sig"), "node").join(sets.select("node", "sketch"), "node")
+    return spool(every.select(F.explode("at").alias("at"), "node", "comp", "n", "sig", "sketch").select("at.low", "node", "comp", "at.tiles", "n", "sig", "sketch"), "rows")
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, radius: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, comp_a, comp_b) of different components of groups, and those of them that are linked."""
     rows = rows.withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("low", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sig")
+    rows = rows.select("low", F.least("tile", "_with").alias("i"), F.greatest("tile", "_with").alias("j"), "node", "comp", "tile", "n", "sig", "sketch")
     tiled = rows.repartition("low", "i", "j").sortWithinPartitions("low", "i", "j").mapInArrow(_tiles(percent, radius, every), "a long, b long, comp_a long, comp_b long")
     pairs = spool(tiled.distinct(), "sent")
     return pairs, spool(_confirmed(pairs, sets, percent), "links")
@@ -267,7 +279,7 @@ def _join(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
 
     one_text = nodes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"))
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tx") == F.col("_tx"))
-    sets = spool(texts.join(one_text, here, "left_semi").select("text").mapInArrow(_full_sets(size), "node long, hashes binary"), "whole-sets")
+    sets = spool(texts.join(one_text, here, "left_semi").select("text").mapInArrow(_whole_sets(size), "node long, n long, sketch binary, hashes binary"), "whole-sets")
     if sets.count() > sets.select("node").distinct().count():  # only where rows agree in id and text
         twice, sets = sets, spool(sets.dropDuplicates(["node"]), "whole-sets")
         discard(twice)
@@ -284,7 +296,7 @@ def _join(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     labels = spool(shared.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("linked", "node").alias("comp")), "labels")
     discard(links)
 
-    rows = _open_rows(shared, labels, nodes, pairs, chunks)
+    rows = _open_rows(shared, labels, nodes, sets, pairs, chunks)
     discard(shared, pairs)
     every = False
     while True:
