@@ -48,6 +48,5 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs: its cleaner waits for the driver's garbage collection."""
+    """Drops this process's references to finished DataFrames, so that Spark's cleaner may remove their shuffle files."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -92,9 +92,9 @@ def _pack(capacity: int):
 def best_fit_packing(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(doc_id, piece, n_words, source, cluster, bin, residual) for items (doc_id, n_words, source, cluster).
 
-    residual is what the bin has left in the end.
+    residual is what the bin has left in the end.  A null n_words is 0: such an item takes no room in the bin it gets.
     """
-    pieces = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_words").alias("_n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"))
+    pieces = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_words").cast("long"), F.lit(0)).alias("_n"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"))
     pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / capacity).cast("int") - 1, F.lit(0)))))
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("piece") * capacity))
     shards = max(1, -(-items.count() // shard))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._tables import discard, read, spool
@@ -110,9 +110,18 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes docs as one folder of Parquet for each shard; ids must be unique."""
-    place = extendible_shards(docs.select("doc_id", "text"), limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("s"), "shard").alias("shard"))
-    docs.drop("shard").join(place, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes docs as one folder of Parquet for each shard.
+
+    Every row is written once.  A shard is chosen by id, text and row, so rows that share an id go where the n-th row of
+    that id and size goes; null ids are one id.
+    """
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy("_tie"))
+    place = extendible_shards(docs.select("doc_id", "text"), limit).select(F.col("doc_id").alias("_id"), F.col("n_bytes").cast("long").alias("_size"), F.concat(F.lit("s"), "shard").alias("shard"))
+    place = place.withColumn("_tie", F.col("shard")).withColumn("_nth", nth).drop("_tie")
+    rows = docs.drop("shard").withColumns({"_id": F.col("doc_id"), "_size": size, "_tie": F.xxhash64("text")}).withColumn("_nth", nth).drop("_tie")
+    same = rows["_id"].eqNullSafe(place["_id"]) & (rows["_size"] == place["_size"]) & (rows["_nth"] == place["_nth"])
+    rows.join(place, same).drop("_id", "_size", "_nth").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 A rollup holds additive totals, n_docs and n_tokens.  A batch is a table of signed rows:
 +1 for a document that comes or the new count of a revised one, -1 for one that goes or
 its old count.  Committing a batch adds its sums, pre-aggregated before the shuffle, to
-the totals of the last version, writes them to a folder of their own, and then creates the
-entry of the next version in the log: one small file that names the batch and the folder.
-A file that exists is never created again, so of two writers of one version only one wins;
-the other starts over from the version that won.  A batch that is in the log is not added
-again, so a commit can be repeated after any failure.  The log is read as a table.
+the totals of the last version, writes them to a folder of their own, and then puts the
+entry of the next version into the log: one small file that names the batch and the folder.
+It is written under another name and renamed, never over a file that exists, so the log has
+whole entries only, and of two writers of one version only one wins; the other deletes what
+it wrote and starts over from the version that won.  A batch that is in the log is not added
+again, and a commit that failed at any point can be repeated: it deletes what earlier tries
+of its batch left.  The log is read as a table.
 
 Defined results: a null text has no tokens but is a document; null sources, languages
 and tokenizers are groups of their own; null counts and signs are 0.  Rows that repeat
@@ -19,6 +21,7 @@ any length are counted whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -45,6 +48,11 @@ def signed(counts: DataFrame, sign: int) -> DataFrame:
     return counts.select(*KEYS, "n_tokens", F.lit(sign).cast("long").alias("sign"))
 
 
+def _mark(batch: str) -> str:
+    """How the names of all that belongs to a batch begin."""
+    return f"{hashlib.sha256(batch.encode()).hexdigest()[:16]}-"
+
+
 class Rollup:
     """A rollup in a folder that all executors share: `log` holds one entry for each version, `totals` their tables."""
 
@@ -58,40 +66,72 @@ class Rollup:
         """(version, batch, folder) of every version."""
         return self.spark.read.schema("version long, batch string, folder string").json(f"{self.path}/log")
 
-    def _last(self):
-        return self.log().orderBy(F.desc("version")).first()
-
     def batches(self) -> set[str]:
         return {r[0] for r in self.log().select("batch").collect()}
 
+    def _state(self, batch: str | None = None) -> tuple[int, str | None, bool]:
+        """Number and folder of the last version, and whether a batch is in the log, in one reading of it."""
+        row = self.log().agg(F.max(F.struct("version", "folder")).alias("x"), F.max(F.col("batch").eqNullSafe(F.lit(batch))).alias("there")).first()
+        return (row["x"]["version"], row["x"]["folder"], bool(row["there"])) if row["x"] else (0, None, False)
+
+    def _table(self, folder: str | None) -> DataFrame:
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/totals/{folder}") if folder else self.spark.createDataFrame([], _TOTALS)
+
     def totals(self) -> DataFrame:
-        last = self._last()
-        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/totals/{last['folder']}") if last else self.spark.createDataFrame([], _TOTALS)
+        return self._table(self._state()[1])
+
+    def _delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
     def _publish(self, version: int, batch: str, folder: str) -> bool:
-        """Creates the entry of a version; False if another writer has."""
+        """Puts the entry of a version into the log, whole or not at all; False if another writer has put one.
+
+        The entry is written under another name first: a crash on the way leaves a file that no reader looks at.
+        """
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        pending = self._path(f"{self.path}/pending/{folder}.json")
+        out = self._fs.create(pending, True)
+        out.write(bytearray(json.dumps({"version": version, "batch": batch, "folder": folder}).encode()))
+        out.close()
         at = self._path(f"{self.path}/log/{version:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
         try:
-            out = self._fs.create(at, False)
+            context.rename(pending, at, gateway.new_array(rename, 0))  # never over a file that exists
         except Py4JJavaError:
             if self._fs.exists(at):
+                self._delete(f"pending/{folder}.json")
                 return False
             raise
-        out.write(bytearray(json.dumps({"version": version, "batch": batch, "folder": folder}).encode()))
-        out.close()
         return True
 
+    def _orphans(self, batch: str) -> list[str]:
+        """Folders and entries that earlier tries of a batch, which is not in the log, have left."""
+        mark = _mark(batch)
+        found = []
+        for kind in ("totals", "pending"):
+            path = self._path(f"{self.path}/{kind}")
+            if self._fs.exists(path):
+                found += [f"{kind}/{s.getPath().getName()}" for s in self._fs.listStatus(path) if s.getPath().getName().startswith(mark)]
+        return found
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch of (source, lang, tokenizer, n_tokens, sign); False if it is in already."""
         sign = F.coalesce("sign", F.lit(0))
         new = deltas.groupBy(*KEYS).agg(F.sum(sign).alias("n_docs"), F.sum(sign * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        while self.log().filter(F.col("batch") == batch).isEmpty():
-            last = self._last()
-            version, folder = (last["version"] + 1 if last else 1), uuid.uuid4().hex
-            both = self.totals().unionByName(new).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        version, last, there = self._state(batch)
+        if there:
+            return False
+        for name in self._orphans(batch):
+            self._delete(name)
+        while not there:
+            folder = f"{_mark(batch)}{uuid.uuid4().hex}"
+            both = self._table(last).unionByName(new).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
             both.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/totals/{folder}")
-            if self._publish(version, batch, folder):
+            if self._publish(version + 1, batch, folder):
                 return True
+            self._delete(f"totals/{folder}")
+            version, last, there = self._state(batch)
         return False
 
 
