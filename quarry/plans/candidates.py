@@ -94,4 +94,14 @@ SELECT grp AS "group", count(*) AS records, arg_min(c_name, c_custkey) FILTER (c
     (SELECT string_agg(c_mktsegment, ',' ORDER BY k) FROM firsts f WHERE f.grp = g.grp) AS genres FROM g GROUP BY grp
 """
 
-QUERIES = {"station_verdicts": (station_verdicts, STATION_VERDICTS), "page_verdicts": (page_verdicts, None), "station_routes": (station_routes, STATION_ROUTES), "identity_groups": (identity_groups, IDENTITY_GROUPS)}
+def folded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG14 and MRG15 as a sequential fold: orders of one customer and year, or of one day and priority, merged in order of arrival."""
+    o = table(spark, sf_dir, "orders")
+    keys = F.array(F.concat(F.lit("website:"), "o_custkey", F.lit("-"), F.year("o_orderdate")), F.concat(F.lit("email:"), F.to_date("o_orderdate").cast("string"), F.lit("-"), "o_orderpriority"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ord"), keys.alias("keys"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("place"), F.col("o_orderpriority").alias("role"), F.array("o_orderstatus").alias("formats"))
+    groups = D.folded_groups(rows)
+    merged = D.merge_groups(rows.drop("group").withColumn("at", F.struct("ord", "id")), groups, "at", ["role"], ["formats"])
+    return merged.select("group", "records", "role", F.array_join("formats", ",").alias("formats"))
+
+
+QUERIES = {"folded_groups": (folded_groups, None), "station_verdicts": (station_verdicts, STATION_VERDICTS), "page_verdicts": (page_verdicts, None), "station_routes": (station_routes, STATION_ROUTES), "identity_groups": (identity_groups, IDENTITY_GROUPS)}

@@ -189,24 +189,24 @@ SELECT station, method, value, name, sum(observations)::BIGINT AS observations,
 
 def station_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS13, WIN5, WIN6 and WIN9: the submission status and best next step of each station."""
-    p = table(spark, sf_dir, "part").withColumn("k", F.floor(F.col("p_partkey") / 97).cast("long")).filter("p_partkey % 3 = 0")
-    pages = p.select(F.pmod("p_partkey", F.lit(97)).alias("station"), _pick(url.CATEGORY_ORDER, "p_size").alias("category"), F.concat(F.lit("https://s.org/"), "p_partkey").alias("url"), F.when(F.pmod("k", F.lit(3)) > 0, F.pmod("k", F.lit(3)) == 1).alias("reachable"), F.col("p_partkey").alias("ord")).filter("p_size > 30")
+    p = table(spark, sf_dir, "part").withColumn("k", F.floor(F.col("p_partkey") / 97).cast("long"))
+    pages = p.select(F.pmod("p_partkey", F.lit(97)).alias("station"), _pick(url.CATEGORY_ORDER, "p_size").alias("category"), F.concat(F.lit("https://s.org/"), "p_partkey").alias("url"), F.when(F.pmod("k", F.lit(3)) > 0, F.pmod("k", F.lit(3)) == 1).alias("reachable"), F.col("p_partkey").alias("ord"))
     s = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
     stations = s.groupBy(F.pmod("c_custkey", F.lit(211)).alias("station")).agg((F.min("c_custkey") % 2 == 0).alias("investigated"))
-    rows = table(spark, sf_dir, "customer").filter("c_custkey % 211 % 5 = 1").groupBy(F.pmod("c_custkey", F.lit(211)).alias("station")).agg(F.min("c_custkey").alias("c"))
+    rows = table(spark, sf_dir, "customer").groupBy(F.pmod("c_custkey", F.lit(211)).alias("station")).agg(F.min("c_custkey").alias("c"))
     subs = rows.select("station", F.when(F.col("c") % 4 == 0, F.concat(F.lit("https://s.org/submit/"), "c")).when(F.col("c") % 4 == 1, "see below").alias("submission_url"), F.when(F.col("c") % 2 == 1, F.concat(F.lit("m"), "c", F.lit("@x.org"))).alias("submission_email"))
-    return C.best_actions(stations, pages, subs, _contacts(spark, sf_dir).filter("o_orderkey % 11 = 0").select("station", "role", "email", "phone"))
+    return C.best_actions(stations, pages, subs, _contacts(spark, sf_dir).select("station", "role", "email", "phone"))
 
 
 _RANK = "CASE role " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(C.DECISION_ROLES)) + " END"
 STATION_ACTIONS = f"""
 WITH {_CONTACTS},
-pages AS (SELECT p_partkey % 97 AS station, {_sql_pick(url.CATEGORY_ORDER, "p_size")} AS category, 'https://s.org/' || p_partkey AS url, (p_partkey // 97) % 3 = 1 AS reachable, p_partkey AS ord FROM part WHERE p_partkey % 3 = 0 AND p_size > 30),
+pages AS (SELECT p_partkey % 97 AS station, {_sql_pick(url.CATEGORY_ORDER, "p_size")} AS category, 'https://s.org/' || p_partkey AS url, (p_partkey // 97) % 3 = 1 AS reachable, p_partkey AS ord FROM part),
 stations AS (SELECT c_custkey % 211 AS station, min(c_custkey) % 2 = 0 AS investigated FROM customer GROUP BY 1),
-subs AS (SELECT c_custkey % 211 AS station, min(c_custkey) AS c FROM customer WHERE c_custkey % 211 % 5 = 1 GROUP BY 1),
+subs AS (SELECT c_custkey % 211 AS station, min(c_custkey) AS c FROM customer GROUP BY 1),
 pg AS (SELECT station, min_by(url, (CASE WHEN reachable THEN 0 ELSE 1 END, url)) FILTER (category IN ('send_music', 'submission_guidelines')) AS send, min_by(url, ord) FILTER (category = 'contact') AS contact,
     min_by(url, ord) FILTER (category IN ('dj_directory', 'programming')) AS dj_page FROM pages GROUP BY station),
-who AS (SELECT * FROM (SELECT station, role, email, phone, {_RANK} AS rank FROM contacts WHERE o_orderkey % 11 = 0) WHERE rank IS NOT NULL AND coalesce(email, phone) IS NOT NULL
+who AS (SELECT * FROM (SELECT station, role, email, phone, {_RANK} AS rank FROM contacts) WHERE rank IS NOT NULL AND coalesce(email, phone) IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY station ORDER BY rank, email NULLS FIRST, phone NULLS FIRST) = 1),
 d AS (SELECT s.station, investigated, coalesce(CASE WHEN c % 4 = 0 THEN 'https://s.org/submit/' || c END, send, CASE WHEN c % 2 = 1 THEN 'mailto:m' || c || '@x.org' END) AS direct, contact, dj_page, role, email
     FROM stations s LEFT JOIN pg USING (station) LEFT JOIN subs USING (station) LEFT JOIN who USING (station))

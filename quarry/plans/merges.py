@@ -76,13 +76,13 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRG1 and MRG2: records under one identity, by website or by name and place; each third supplier has no website."""
     s = table(spark, sf_dir, "supplier")
     site = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("http://www.shop"), F.col("s_nationkey"), F.lit(".co.uk/"), F.col("s_suppkey")))
-    keyed = s.select("s_suppkey", M.identity_key(site, F.substring("s_name", 1, 8), F.col("s_nationkey").cast("string"), F.lit(None).cast("string")).alias("key"))
+    keyed = s.select("s_suppkey", M.identity_key(site, F.col("s_name"), F.col("s_nationkey").cast("string"), F.lit(None).cast("string")).alias("key"))
     return keyed.groupBy("key").agg(F.count("*").alias("records"), F.min("s_suppkey").alias("first"))
 
 
 IDENTITY_KEYS = """
 WITH keyed AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN 'domain:shop' || s_nationkey || '.co.uk'
-    ELSE 'namegeo:' || trim(regexp_replace(lower(s_name[1:8]), '[^a-z0-9]+', '-', 'g'), '-') || '-' || s_nationkey || '-' END AS key FROM supplier)
+    ELSE 'namegeo:' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || s_nationkey || '-' END AS key FROM supplier)
 SELECT key, count(*) AS records, min(s_suppkey) AS first FROM keyed GROUP BY key
 """
 
