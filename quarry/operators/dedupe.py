@@ -13,18 +13,25 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df in the folder that the cluster shares; on a local master, as in tests, a folder of this process where none is named."""
-    spark = df.sparkSession
+_own: dict[str, str] = {}
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; on a local master, as in tests, in one of this process where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="quarry-")
-    path = f"{base.rstrip('/')}/dedupe-{uuid.uuid4().hex[:12]}"
+    base = base or _own.setdefault("dir", tempfile.mkdtemp(prefix="quarry-"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = fresh_folder(spark, "dedupe")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ingest
 from ..operators import merge as M
+from ..operators.dedupe import fresh_folder
 from ..sources import table
 
 _CUT = "1996-01-01"
@@ -137,8 +139,49 @@ SELECT concat_ws(',', CASE WHEN NOT o_totalprice > 50000 THEN 'price' END, CASE
     CASE WHEN o_orderpriority LIKE '5%' THEN 'priority' END) AS failed, count(*) AS n FROM orders GROUP BY 1
 """
 
+def ingested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1, MRG7, MRG8 and SNK6: orders as records of the stations of their customers, ingested in two batches of which one is sent again; the stored tables by station."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    none = lambda kind: F.lit(None).cast(kind)
+    day, status = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus")
+    columns = {
+        "position": F.col("o_orderkey"), "name": F.when(F.col("o_orderkey") % 7 != 0, F.col("c_name")), "organization_type": none("string"), "website": F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("https://www.c"), "o_custkey", F.lit(".org/"))),
+        "country": none("string"), "state_or_region": none("string"), "city": F.when(status == "F", F.col("o_orderpriority")), "status": status, "confidence_score": none("double"), "genres": F.array("o_orderpriority"), "source_urls": F.array().cast("array<string>"),
+        "social_urls": none("map<string,string>"), "discovered_at": day, "last_observed_at": day, "emails": F.array(F.struct(F.lower(status).alias("value"), day.alias("source_url"))), "phone_numbers": none("array<struct<value:string,source_url:string>>"),
+        "contacts": F.when(status != "P", F.array(F.struct(F.col("o_orderpriority").alias("name"), status.alias("role"), none("string").alias("email"), none("string").alias("phone"), day.alias("source_url"), F.array(day).alias("provenance")))),
+        "submission": F.when(status == "O", F.create_map(F.lit("day"), day)), "fetches": F.array(F.struct(day.alias("url"), F.lit(True).alias("ok"), F.lit(200).alias("status"))),
+    }
+    records = rows.select(*[x.alias(n) for n, x in columns.items()])
+    store = ingest.station_store(spark, fresh_folder(spark, "stations"), 16)
+    early = F.col("discovered_at") < "1999-01-01"
+    for name, batch in (("early", records.filter(early)), ("late", records.filter(~early)), ("early", records.filter(early))):
+        ingest.ingest(store, name, batch, "orders", name)
+    s, people = store.read("stations"), store.read("contacts").groupBy("station").agg(F.count("*").alias("contacts"), F.max("first_stored_at").alias("contact_since"), F.max(F.size("provenance")).alias("provenance"))
+    facts, paths = store.read("facts").groupBy("station").agg(F.count("*").alias("facts"), F.max("source_url").alias("fact_at")), store.read("submissions").select("station", F.col("payload")["day"].alias("submission"))
+    out = s.join(people, "station", "left").join(facts, "station", "left").join(paths, "station", "left").join(store.read("fetches").select("station", F.col("url").alias("fetch_url")), "station", "left")
+    return out.select("station", "name", "city", "status", F.array_join("genres", ",").alias("genres"), "discovered_at", "last_observed_at", "first_stored_at", "last_stored_at", "contacts", "contact_since", "provenance", "facts", "fact_at", "submission", "fetch_url")
+
+
+INGESTED_TABLES = """
+WITH r AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 1 ELSE 2 END AS b,
+    CASE WHEN o_custkey % 2 = 0 THEN 'domain:c' || o_custkey || '.org' ELSE 'namegeo:' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') || '--' END AS station
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0),
+s AS (SELECT station, arg_min(c_name, (b, o_orderkey)) AS name, arg_min(o_orderpriority, (b, o_orderkey)) FILTER (o_orderstatus = 'F') AS city, arg_max(o_orderstatus, (b, o_orderkey)) AS status,
+    min(day) AS discovered_at, max(day) AS last_observed_at, CASE WHEN min(b) = 1 THEN 'early' ELSE 'late' END AS first_stored_at, CASE WHEN max(b) = 1 THEN 'early' ELSE 'late' END AS last_stored_at,
+    arg_max(day, (b, o_orderkey)) FILTER (o_orderstatus = 'O') AS submission, arg_max(day, (b, o_orderkey)) AS fetch_url FROM r GROUP BY station),
+g AS (SELECT station, string_agg(o_orderpriority, ',' ORDER BY b, k) AS genres FROM (SELECT station, o_orderpriority, arg_min(b, (b, o_orderkey)) AS b, arg_min(o_orderkey, (b, o_orderkey)) AS k FROM r GROUP BY ALL) GROUP BY station),
+f AS (SELECT station, count(*) AS facts, max(d) AS fact_at FROM (SELECT station, o_orderstatus, arg_max(day, (b, o_orderkey)) AS d FROM r GROUP BY ALL) GROUP BY station),
+last AS (SELECT station, b, arg_max((o_orderpriority, o_orderstatus, day), o_orderkey) AS c FROM r WHERE o_orderstatus <> 'P' GROUP BY station, b),
+people AS (SELECT n.station, 1 AS contacts, CASE WHEN n.b = 1 OR p.c[1] = n.c[1] AND p.c[2] = n.c[2] THEN 'early' ELSE 'late' END AS contact_since,
+    CASE WHEN n.b = 2 AND p.c[1] = n.c[1] AND p.c[2] = n.c[2] AND p.c[3] <> n.c[3] THEN 2 ELSE 1 END AS provenance
+    FROM (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY station ORDER BY b DESC) = 1) n LEFT JOIN (SELECT * FROM last WHERE b = 1) p ON p.station = n.station)
+SELECT station, name, city, status, genres, discovered_at, last_observed_at, first_stored_at, last_stored_at, contacts, contact_since, provenance, facts, fact_at, submission, fetch_url
+FROM s JOIN g USING (station) LEFT JOIN people USING (station) LEFT JOIN f USING (station)
+"""
+
 QUERIES = {
-    "stored_merge": (stored_merge, STORED_MERGE), "latest_events": (latest_events, LATEST_EVENTS), "replaced_children": (replaced_children, REPLACED_CHILDREN),
+    "ingested_tables": (ingested_tables, INGESTED_TABLES), "stored_merge": (stored_merge, STORED_MERGE), "latest_events": (latest_events, LATEST_EVENTS), "replaced_children": (replaced_children, REPLACED_CHILDREN),
     "contact_uids": (contact_uids, CONTACT_UIDS), "identity_keys": (identity_keys, IDENTITY_KEYS), "matched_records": (matched_records, MATCHED_RECORDS),
     "text_copies": (text_copies, TEXT_COPIES), "quarantine": (quarantine, QUARANTINE),
 }
