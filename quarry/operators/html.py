@@ -11,68 +11,75 @@ from pyspark.sql import functions as F
 
 PAGE = "title string, text string, links array<struct<href string, anchor string>>, mailtos array<string>, forms array<string>"
 _SILENT = {"script", "style"}
+LONGEST_TITLE = 300
 # fixed values: tags that end a title that was never closed
 _END_TITLE = ["body", "p", "div", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "a", "header", "nav", "main", "section"]
 
 
 class _Reader(HTMLParser):
-    """Collects what a page shows; one for each page."""
+    """Collects what a page shows; one for each page.
+
+    A title that holds markup or is longer than LONGEST_TITLE was never closed: it is no title, and that piece is text.
+    A link counts once it is closed; of links within links the inner one does.
+    """
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.silent, self.title, self.in_title = base, 0, [], False
-        self.chunks, self.links, self.mailtos, self.forms, self.open = [], [], [], [], None
+        self.base, self.silent, self.in_title = base, 0, False
+        self.title = self.anchor = ""
+        self.href: str | None = None
+        self.chunks, self.links, self.mailtos, self.forms = [], [], [], []
+
+    def absolute(self, target: str) -> str | None:
+        try:
+            full = urljoin(self.base, target)
+        except ValueError:
+            return None
+        return full if full.startswith(("http://", "https://")) else None
 
     def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        if tag in _END_TITLE:
-            self.in_title = False
         if tag in _SILENT:
             self.silent += 1
         elif tag == "title":
             self.in_title = True
-        elif tag == "form":
-            action = (given.get("action") or "").strip()
-            target = urljoin(self.base, action) if action else ""
-            if target.lower().startswith(("http://", "https://")):
-                self.forms.append(target)
-            elif not action:  # posts to the page itself
-                self.forms.append("")
-        elif tag == "a":
-            self.close_link()
-            self.open = (given.get("href") or "").strip(), []
+        else:
+            self.in_title = self.in_title and tag not in _END_TITLE
+            given = {k: (v or "").strip() for k, v in attrs}
+            if tag == "form":
+                action = given.get("action")
+                target = self.absolute(action) if action else ""  # without one it posts to the page itself
+                self.forms += [target] if target is not None else []
+            elif tag == "a" and given.get("href"):
+                self.enter(given["href"])
+
+    def enter(self, href: str):
+        if href.lower().startswith("mailto:"):
+            address = href[7:].split("?", 1)[0].strip()
+            self.mailtos += [address] if address else []
+        else:
+            self.href, self.anchor = href, ""
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "title":
             self.in_title = False
-        elif tag == "a":
-            self.close_link()
+        elif tag == "a" and self.href is not None:
+            full = self.absolute(self.href)
+            self.links += [{"href": full, "anchor": " ".join(self.anchor.split())}] if full else []
+            self.href = None
 
     def handle_data(self, data):
         if self.silent:
             return
         if self.in_title:
-            self.title.append(data)
-            return
+            self.title += data
+            if "<" not in self.title and len(self.title) <= LONGEST_TITLE:
+                return
+            self.title, self.in_title = "", False
         if data.strip():
             self.chunks.append(data.strip())
-            if self.open:
-                self.open[1].append(data.strip())
-
-    def close_link(self):
-        if self.open:
-            href, words = self.open
-            if href.lower().startswith("mailto:"):
-                address = href[7:].split("?", 1)[0].strip()
-                if address:
-                    self.mailtos.append(address)
-            elif href:
-                full = urljoin(self.base, href)
-                if full.lower().startswith(("http://", "https://")):
-                    self.links.append({"href": full, "anchor": " ".join(words)})
-            self.open = None
+            self.anchor += data
 
     def page(self, html: str) -> dict:
         try:
@@ -80,12 +87,7 @@ class _Reader(HTMLParser):
             self.close()
         except (ValueError, AssertionError):
             pass  # what was read before the fault stands
-        self.close_link()
-        title = " ".join("".join(self.title).split())
-        if self.in_title and not self.chunks:  # the title was never closed: its first line is the title, the rest is text
-            head, *rest = [x.strip() for x in "".join(self.title).splitlines() if x.strip()] or [""]
-            title, self.chunks = head, rest
-        return {"title": title or None, "text": "\n".join(self.chunks), "links": self.links, "mailtos": self.mailtos, "forms": self.forms}
+        return {"title": " ".join(self.title.split()) or None, "text": "\n".join(self.chunks), "links": self.links, "mailtos": self.mailtos, "forms": self.forms}
 
 
 def parse_page(url: Column, html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from ..operators import frontier
 from ..operators import html as H
 from ..sources import table
 
@@ -38,4 +39,9 @@ def useful_pages(spark: SparkSession, sf_dir: str, budget: int = 5) -> DataFrame
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget)
 
 
-QUERIES = {"page_titles": (page_titles, PAGE_TITLES), "parsed_pages": (parsed_pages, None), "useful_pages": (useful_pages, None)}
+def link_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT12 and HTM2 in rounds: the pages of each site, what the first links to, and what those link to."""
+    return frontier.link_rounds(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"link_rounds": (link_rounds, None), "page_titles": (page_titles, PAGE_TITLES), "parsed_pages": (parsed_pages, None), "useful_pages": (useful_pages, None)}
