@@ -85,7 +85,7 @@ def test_parse_page(spark):
     r = {x["k"]: x["p"] for x in df.select("k", H.parse_page(F.col("url"), F.col("html")).alias("p")).collect()}
     assert [tuple(x) for x in r[1]["links"]] == [("https://x.org/c?x=1#y", "Contact us")]
     assert r[1]["mailtos"] == ["m@x.org"] and r[1]["forms"] == ["https://x.org/d/send", ""] and "no" not in r[1]["text"] and r[1]["text"].endswith("bye")
-    assert r[2]["title"] == "Open title" and r[2]["text"] == "rest of page"
+    assert r[2]["title"] == "Open title rest of page" and r[2]["text"] == ""
     assert r[3]["title"] is None and r[3]["links"] == []
 
 
