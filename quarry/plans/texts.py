@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.votes import votes
 from ..functions.vocabulary import FORMATS, FREE_PROVIDERS, GENRES, RESTRICTIONS, ROLE_INBOXES, ROLE_RULES, STATION_TYPES
 from ..sources import table
 
@@ -67,28 +68,32 @@ DOCUMENT_ROLES = f"SELECT doc_id, CASE {_ROLES} ELSE 'unknown' END AS role, conc
 
 
 def document_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG15, AGG16 and TXT16: votes on genres, formats and station type by counted words."""
-    text = F.col("text")
-    df = table(spark, sf_dir, "documents")
-    return df.select(
-        "doc_id", F.array_join(T.vote(text, GENRES, 8), ",").alias("genres"), F.array_join(T.vote(text, FORMATS, 4), ",").alias("formats"),
-        F.coalesce(F.get(T.vote(text, STATION_TYPES, 1, by_name=False), F.lit(0)), F.lit("unknown")).alias("station_type"),
-    )
+    """AGG15, AGG16, TXT15 and TXT16: votes on genres, formats and station type by counted words, with confidence and evidence."""
+    df = table(spark, sf_dir, "documents").select("doc_id", votes(F.col("text")).alias("v"))
+    names = lambda c: F.array_join(f"v.{c}.name", ",")
+    words = F.array_join(F.transform("v.genres", lambda g: F.concat(g["name"], F.lit(":"), F.array_join(g["evidence"], "|"))), ",")
+    return df.select("doc_id", names("genres").alias("genres"), names("formats").alias("formats"), words.alias("genre_words"), "v.station_type", "v.confidence", F.array_join("v.evidence", ",").alias("evidence"))
 
 
 def _hits(words: list[str]) -> str:
     return " + ".join("least(3, len(regexp_extract_all(t, '{}')))".format(re.escape(w).replace(r"\ ", " ").replace("'", "''")) for w in words)
 
 
+def _said(words: list[str]) -> str:
+    """The words found, each as often as it counts."""
+    return "flatten([" + ", ".join("[{0} for i in range(least(3, len(regexp_extract_all(t, {1}))))]".format("'" + w.replace("'", "''") + "'", "'" + re.escape(w).replace(r"\ ", " ").replace("'", "''") + "'") for w in words) + "])"
+
+
 def _votes(vocabulary: list[tuple[str, list[str]]], by_name: bool) -> str:
-    return "[" + ", ".join(f"{{'h': -({_hits(ws)}), 'tie': {repr(n) if by_name else k}, 'name': '{n}'}}" for k, (n, ws) in enumerate(vocabulary)) + "]"
+    return "[" + ", ".join(f"{{'h': -({_hits(ws)}), 'tie': {repr(n) if by_name else k}, 'name': '{n}', 'said': {_said(ws)}}}" for k, (n, ws) in enumerate(vocabulary)) + "]"
 
 
 DOCUMENT_VOTES = f"""
 WITH low AS (SELECT doc_id, lower(text) AS t FROM documents),
 votes AS (SELECT doc_id, list_sort(list_filter({_votes(GENRES, True)}, lambda s: s.h < 0)) AS g, list_sort(list_filter({_votes(FORMATS, True)}, lambda s: s.h < 0)) AS f,
     list_sort(list_filter({_votes(STATION_TYPES, False)}, lambda s: s.h < 0)) AS y FROM low)
-SELECT doc_id, array_to_string([s.name for s in g[1:8]], ',') AS genres, array_to_string([s.name for s in f[1:4]], ',') AS formats, coalesce(y[1].name, 'unknown') AS station_type FROM votes
+SELECT doc_id, array_to_string([s.name for s in g[1:8]], ',') AS genres, array_to_string([s.name for s in f[1:4]], ',') AS formats, array_to_string([s.name || ':' || array_to_string(list_sort(list_distinct(s.said)), '|') for s in g[1:8]], ',') AS genre_words,
+    coalesce(y[1].name, 'unknown') AS station_type, CASE WHEN len(y) = 0 THEN 0.1::DOUBLE ELSE round(least(0.4::DOUBLE + 0.15::DOUBLE * -y[1].h, 0.9::DOUBLE), 2) END AS confidence, coalesce(array_to_string(y[1].said[1:10], ','), '') AS evidence FROM votes
 """
 
 QUERIES = {
