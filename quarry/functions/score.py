@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import email_quality
 from .url import reserved_host, source_type
-from .vocabulary import CONTACT_LEVEL_SCORE, CONTACTED_PENALTY, FREE_PROVIDERS_OF_CONTACTS, HIGH, MEDIUM, MUSIC_ROLES, OPPORTUNITY_WEIGHTS, ROUTE_PRIORITY_SCORE, SOURCE_STRENGTH
+from .vocabulary import CONTACT_LEVEL_SCORE, CONTACTED_PENALTY, DECISION_ROLES, FREE_PROVIDERS_OF_CONTACTS, HIGH, MEDIUM, MUSIC_ROLES, OPPORTUNITY_WEIGHTS, ROUTE_PRIORITY_SCORE, SOURCE_STRENGTH
 
 
 def truthy(c: Column, kind: str = "string") -> Column:
@@ -50,7 +50,8 @@ def contact_score(source_url: Column, email: Column, name: Column, role: Column,
 
 def relevance(role: Column, preferred: Column, name: Column) -> Column:
     """(score in hundredths, label) of a contact for music outreach."""
-    base = F.when(role.isin(MUSIC_ROLES), 80).when(role.isin("host", "dj"), 50).otherwise(30)
+    role = F.lower(F.trim(F.coalesce(role, F.lit(""))))
+    base = F.when(role.isin(DECISION_ROLES), 80).when(role.isin("host", "dj"), 50).when(role == "general", 30).otherwise(0)
     base = F.when(truthy(preferred, "boolean"), F.greatest(base, F.lit(90))).otherwise(base)
     score = F.least(F.lit(100), base + F.when(truthy(name), 5).otherwise(0))
     return F.struct(score.alias("score"), F.when(score >= 75, "High").when(score >= 45, "Medium").otherwise("Low").alias("label"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.people import is_person
+from ..functions.score import relevance
+from ..functions.vocabulary import DECISION_ROLES
+from .merge import latest_per_key
 
 # fixed values: class of route by role
 ROUTE_CLASSES = {
@@ -13,8 +16,6 @@ ROUTE_CLASSES = {
     "music_coordinator": "PROGRAMMING_CONTACT", "programming": "PROGRAMMING_CONTACT", "music_submission": "DIRECT_MUSIC_CONTACT", "host": "SHOW_HOST", "dj": "DJ",
     "general": "GENERAL_STATION_CONTACT",
 }
-# fixed values: roles that decide on music, the first ones first
-DECISION_ROLES = ["music_director", "program_director", "music_programmer", "music_submission", "programming", "music_scheduler", "music_coordinator"]
 # fixed values: relevance of a role, the least first
 RELEVANCE = {
     "music_director": 0, "program_director": 1, "music_programmer": 2, "music_submission": 3, "programming": 4, "music_scheduler": 5, "music_coordinator": 6,
@@ -43,6 +44,15 @@ def qualified(name: Column, email: Column, role: Column) -> Column:
     return (named | is_person(name)) & ((F.coalesce(email, F.lit("")) != "") | F.coalesce(role.isin(DECISION_ROLES), F.lit(False)))
 
 
+def music_contact(contacts: DataFrame, key: str, order: str) -> DataFrame:
+    """contacts (role, preferred, name, email, phone, ...) with score: the one of each key to send music to, by relevance, then by having a channel, then the first in order."""
+    role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    preferred = F.coalesce(F.col("preferred"), F.lit(False))
+    df = contacts.filter(role.isin(DECISION_ROLES) | preferred).withColumn("score", relevance(role, preferred, F.col("name"))["score"])
+    channel = (F.coalesce("email", F.lit("")) != "") | (F.coalesce("phone", F.lit("")) != "")
+    return latest_per_key(df, [key], F.col("score"), channel, -F.col(order))
+
+
 def sighted(rows: DataFrame, key: list[str], value: str, url: str, order: str) -> DataFrame:
     """One fact for each key and value: where it was seen first, and the other addresses in order, each once."""
     seen = rows.groupBy(*key, value, url).agg(F.min(order).alias("_at"))

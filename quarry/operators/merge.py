@@ -22,6 +22,20 @@ def merge_lists(old: Column, new: Column) -> Column:
     return F.concat(o, F.filter(F.array_distinct(n), lambda x: ~F.array_contains(o, x)))
 
 
+def merge_json(old: Column, new: Column) -> Column:
+    """old, then what is new of two arrays of JSON texts, as they are written.
+
+    Texts are one if their values are, whatever the order of keys and white space; what is no JSON is compared as text.
+    """
+    none = F.array().cast("array<string>")
+    o, n = F.coalesce(old, none), F.coalesce(new, none)
+    form = lambda x: F.coalesce(F.to_json(F.try_parse_json(x)), x)  # noqa: E731  keys of a variant are sorted
+    had = F.transform(o, form)
+    came = F.transform(n, lambda x: F.struct(form(x).alias("form"), x.alias("text")))
+    first = F.filter(came, lambda x, k: ~F.array_contains(had, x["form"]) & (F.array_position(F.transform(came, lambda y: y["form"]), x["form"]) == k + 1))
+    return F.concat(o, F.transform(first, lambda x: x["text"]))
+
+
 def merge_maps(old: Column, new: Column, newest: bool = False) -> Column:
     """Union of the keys; the old value wins, or the new one."""
     empty = F.create_map().cast("map<string,string>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import people, url
 from ..functions.text import mailto_addresses
+from ..operators import contact_fold
 from ..operators import contacts as C
 from ..sources import table
 
@@ -235,8 +236,28 @@ SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN f || ' ' || l WHEN 1 THEN 'Seni
 """
 
 
+def matched_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG13 in both stages: contacts of stations by address, then by name and role, stored ones (of early orders) first."""
+    df = _contacts(spark, sf_dir)
+    rows = df.withColumns({"stored": F.col("o_orderkey") % 50 == 0, "ord": F.col("o_orderkey"), "provenance": F.array("source_url")})
+    return contact_fold.matched_contacts(rows).withColumn("provenance", F.array_join("provenance", ","))
+
+
+def music_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN2: the contact of each station to send music to, by relevance, then by having a channel, the first of equals."""
+    df = _contacts(spark, sf_dir).withColumn("preferred", F.col("o_orderkey") % 6 == 0)
+    return C.music_contact(df, "station", "o_orderkey").select("station", "o_orderkey", "role", "score")
+
+
+MUSIC_CONTACTS = f"""
+WITH {_CONTACTS}, c AS (SELECT *, o_orderkey % 6 = 0 AS preferred, role IN ({", ".join(f"'{r}'" for r in C.DECISION_ROLES)}) AS music FROM contacts),
+s AS (SELECT *, least(100, greatest(CASE WHEN music THEN 80 WHEN role IN ('host', 'dj') THEN 50 WHEN role = 'general' THEN 30 ELSE 0 END, CASE WHEN preferred THEN 90 ELSE 0 END) + CASE WHEN name IS NOT NULL THEN 5 ELSE 0 END)::INT AS score FROM c WHERE music OR preferred)
+SELECT station, o_orderkey, role, score FROM s QUALIFY row_number() OVER (PARTITION BY station ORDER BY score DESC, coalesce(email, phone) IS NOT NULL DESC, o_orderkey) = 1
+"""
+
+
 QUERIES = {
-    "url_classes": (url_classes, URL_CLASSES), "page_address_counts": (page_address_counts, PAGE_ADDRESS_COUNTS), "booking_links": (booking_links, BOOKING_LINKS), "mail_links": (mail_links, MAIL_LINKS),
+    "matched_contacts": (matched_contacts, None), "music_contacts": (music_contacts, MUSIC_CONTACTS), "url_classes": (url_classes, URL_CLASSES), "page_address_counts": (page_address_counts, PAGE_ADDRESS_COUNTS), "booking_links": (booking_links, BOOKING_LINKS), "mail_links": (mail_links, MAIL_LINKS),
     "contact_names": (contact_names, CONTACT_NAMES), "contact_order": (contact_order, CONTACT_ORDER), "qualified_contacts": (qualified_contacts, QUALIFIED_CONTACTS), "merged_contacts": (merged_contacts, MERGED_CONTACTS),
     "sighted_phones": (sighted_phones, SIGHTED_PHONES), "anonymous_contacts": (anonymous_contacts, ANONYMOUS_CONTACTS), "station_actions": (station_actions, STATION_ACTIONS), "person_lines": (person_lines, PERSON_LINES),
 }

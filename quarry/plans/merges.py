@@ -180,8 +180,24 @@ SELECT station, name, city, status, genres, discovered_at, last_observed_at, fir
 FROM s JOIN g USING (station) LEFT JOIN people USING (station) LEFT JOIN f USING (station)
 """
 
+def merged_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG6: provenance of line items, stored and incoming, as JSON whose keys come in two orders."""
+    li = table(spark, sf_dir, "lineitem")
+    a, b = F.col("l_linenumber").cast("string"), F.pmod("l_suppkey", F.lit(5)).cast("string")
+    one, two = F.concat(F.lit('{"line":'), a, F.lit(',"of":{"s":'), b, F.lit(',"q":1}}')), F.concat(F.lit('{ "of": {"q":1, "s":'), b, F.lit('}, "line":'), a, F.lit("}"))
+    old = F.when(F.col("l_linenumber") != 2, F.array(one, F.lit("no json")))
+    new = F.array(two, F.lit("no json"), one, F.concat(F.lit('{"line":'), F.lit(1), F.lit(',"of":{"s":'), b, F.lit(',"q":1}}')))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.array_join(M.merge_json(old, new), ";").alias("provenance")).distinct()
+
+
+MERGED_PROVENANCE = """
+WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, '{"line":' || l_linenumber || ',"of":{"s":' || l_suppkey % 5 || ',"q":1}}' AS one,
+    '{ "of": {"q":1, "s":' || l_suppkey % 5 || '}, "line":' || l_linenumber || '}' AS two, '{"line":1,"of":{"s":' || l_suppkey % 5 || ',"q":1}}' AS first FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber <> 2 THEN one ELSE two END || ';no json' || CASE WHEN l_linenumber = 1 THEN '' ELSE ';' || first END AS provenance FROM x
+"""
+
 QUERIES = {
-    "ingested_tables": (ingested_tables, INGESTED_TABLES), "stored_merge": (stored_merge, STORED_MERGE), "latest_events": (latest_events, LATEST_EVENTS), "replaced_children": (replaced_children, REPLACED_CHILDREN),
+    "merged_provenance": (merged_provenance, MERGED_PROVENANCE), "ingested_tables": (ingested_tables, INGESTED_TABLES), "stored_merge": (stored_merge, STORED_MERGE), "latest_events": (latest_events, LATEST_EVENTS), "replaced_children": (replaced_children, REPLACED_CHILDREN),
     "contact_uids": (contact_uids, CONTACT_UIDS), "identity_keys": (identity_keys, IDENTITY_KEYS), "matched_records": (matched_records, MATCHED_RECORDS),
     "text_copies": (text_copies, TEXT_COPIES), "quarantine": (quarantine, QUARANTINE),
 }

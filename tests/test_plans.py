@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 #: queries without SQL, and the tests that compare each with plain loops
 BRUTE = {
-    "crawled_contacts": "test_crawled_contacts", "folded_groups": "test_fold", "link_rounds": "test_frontier", "parsed_pages": "test_frontier", "useful_pages": "test_crawled_contacts",
+    "crawled_contacts": "test_crawled_contacts", "folded_groups": "test_fold", "link_rounds": "test_frontier", "matched_contacts": "test_contact_fold", "parsed_pages": "test_frontier", "useful_pages": "test_crawled_contacts",
     "page_verdicts": "test_page_verdicts", "contact_outcomes": "test_contact_claims", "contact_outcome_summary": "test_contact_claims", "contact_verification_summary": "test_contact_claims",
 }
 
