@@ -293,46 +293,45 @@ def staff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STAFF_PAGES = "SELECT c_custkey, c_custkey % 6 <> 1 AND (c_custkey % 6 = 0 OR c_custkey % 7 = 0 OR (c_custkey % 11 > 0 AND c_custkey % 5 >= 3)) AS staff FROM customer"
 
-_SCHEMA = {
-    "required": ["name", "tags"],
-    "properties": {"name": {"type": "string", "enum": ["a", "b"]}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}, "sure": {"type": "boolean"}},
+_EVENT = {
+    "required": ["kind", "users"],
+    "properties": {"kind": {"type": "string", "enum": ["click", "purchase", "view"]}, "value": {"type": "integer"}, "users": {"type": "array", "maxItems": 2, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}},
 }
-_ANSWERS = [
-    ('Here: {"name": "a", "tags": [{"n": 1}]} done', '{"name": "a", "tags": [{"n": 1}]}', None),
-    ('```json\n{"name": "c", "tags": []}\n```', '{"name": "c", "tags": []}', "output.name must be one of ['a', 'b']"),
-    ('{broken [1, {"x": "}"}] {}', '[1, {"x": "}"}]', "output must be a JSON object"),
-    ('{"name": "b"} {"tags": 1}', '{"name": "b"}', "output missing required key 'tags'"),
-    ('{"name": "b", "tags": [{"n": 1}, {"n": 1.5}]}', '{"name": "b", "tags": [{"n": 1}, {"n": 1.5}]}', "output.tags[1].n must be an integer"),
-    ('{"name": "b", "tags": [{"n": 1}, {"n": 2}, {"n": 3}], "sure": 1}', '{"name": "b", "tags": [{"n": 1}, {"n": 2}, {"n": 3}], "sure": 1}', "output.tags exceeds 2 items"),
-    ("no value {at all", None, "output must be a JSON object"),
-]
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSN3 and JSN4: the JSON value of a free text, and its first fault by a schema."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", J.first_json(_pick([a for a, _, _ in _ANSWERS], "c_custkey")).alias("value"))
-    return c.withColumn("fault", J.schema_error(F.try_parse_json("value"), _SCHEMA))
-
-
-def _sql_values(values: list) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-MODEL_ANSWERS = f"SELECT c_custkey, {_sql_values([v for _, v, _ in _ANSWERS])}[c_custkey % 7 + 1] AS value, {_sql_values([f for _, _, f in _ANSWERS])}[c_custkey % 7 + 1] AS fault FROM customer"
+    """JSN3 and JSN4: the JSON value of a free text about an event, and its first fault by a schema."""
+    e = table(spark, sf_dir, "events")
+    amount = F.concat(F.floor("value").cast("string"), F.when(F.col("event_id") % 4 == 0, ".5").otherwise(""))
+    users = F.array_join(F.transform(F.sequence(F.lit(0), F.pmod("user_id", F.lit(3)).cast("int")), lambda i: F.concat(F.lit('{"n": '), F.col("user_id").cast("string"), F.lit("}"))), ", ")
+    given = F.when(F.col("user_id") % 7 > 0, F.concat(F.lit(', "users": ['), users, F.lit("]"))).otherwise("")
+    text = F.concat(F.lit("Event "), "event_id", F.lit(' {says}: {"kind": "'), "event_type", F.lit('", "value": '), amount, given, F.lit("} and "), "props")
+    found = e.select("event_id", J.first_json(text).alias("value"))
+    return found.withColumn("fault", J.schema_error(F.try_parse_json("value"), _EVENT))
+
+
+MODEL_ANSWERS = """
+WITH e AS (SELECT *, floor(value)::BIGINT || CASE WHEN event_id % 4 = 0 THEN '.5' ELSE '' END AS amount, array_to_string(['{"n": ' || user_id || '}' for i in range(0, user_id % 3 + 1)], ', ') AS users FROM events)
+SELECT event_id, '{"kind": "' || event_type || '", "value": ' || amount || CASE WHEN user_id % 7 > 0 THEN ', "users": [' || users || ']' ELSE '' END || '}' AS value,
+    CASE WHEN user_id % 7 = 0 THEN 'output missing required key ''users''' WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'output.kind must be one of [''click'', ''purchase'', ''view'']'
+        WHEN event_id % 4 = 0 THEN 'output.value must be an integer' WHEN user_id % 3 = 2 THEN 'output.users exceeds 2 items' END AS fault FROM e
+"""
 
 
 def keyed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSN5: lists of facts as maps by value, the last one of a value."""
-    k = F.col("c_custkey")
-    fact = lambda value, source: F.struct(value.cast("string").alias("value"), source.cast("string").alias("source"))
-    facts = F.array(fact(k % 3, F.lit("a")), fact(k % 2, F.lit("b")), fact(F.when(k % 5 > 0, k % 3), F.lit("c")))
-    c = table(spark, sf_dir, "customer").select(k, J.keyed(facts, "value").alias("m"))
-    return c.select("c_custkey", F.array_join(F.map_keys("m"), ",").alias("keys"), F.array_join(F.transform(F.map_values("m"), lambda x: x["source"]), ",").alias("sources"))
+    """JSN5: lists of facts of line items as maps by value, the last one of a value."""
+    fact = lambda value, source: F.struct(value.cast("string").alias("value"), F.lit(source).alias("source"))
+    q = F.col("l_quantity").cast("long") % 7
+    facts = F.array(fact(F.col("l_linenumber"), "line"), fact(F.col("l_suppkey") % 7, "supplier"), fact(F.when(q > 0, q), "quantity"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", J.keyed(facts, "value").alias("m"))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.array_join(F.map_keys("m"), ",").alias("keys"), F.array_join(F.transform(F.map_values("m"), lambda x: x["source"]), ",").alias("sources"))
 
 
 KEYED_FACTS = """
-SELECT c_custkey, CASE WHEN c_custkey % 3 = c_custkey % 2 THEN (c_custkey % 3)::VARCHAR ELSE c_custkey % 3 || ',' || c_custkey % 2 END AS keys,
-    CASE WHEN c_custkey % 3 = c_custkey % 2 THEN CASE WHEN c_custkey % 5 > 0 THEN 'c' ELSE 'b' END ELSE CASE WHEN c_custkey % 5 > 0 THEN 'c' ELSE 'a' END || ',b' END AS sources FROM customer
+WITH x AS (SELECT *, [l_linenumber::VARCHAR, (l_suppkey % 7)::VARCHAR, CASE WHEN l_quantity::BIGINT % 7 > 0 THEN (l_quantity::BIGINT % 7)::VARCHAR END] AS v FROM lineitem),
+k AS (SELECT *, list_filter(v, lambda a, i: a IS NOT NULL AND list_position(v, a) = i) AS names FROM x)
+SELECT l_orderkey, l_linenumber, l_suppkey, array_to_string(names, ',') AS keys,
+    array_to_string([CASE WHEN v[3] = n THEN 'quantity' WHEN v[2] = n THEN 'supplier' ELSE 'line' END for n in names], ',') AS sources FROM k
 """
 
 

@@ -95,6 +95,11 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"name": "C", "url": "c.org"}, {"name": "D", "url": "d.org", "country": "FR"}]')
     names = lambda p, **k: sorted(r["name"] for r in candidates(records(spark, str(tmp_path / p), schema), **k).collect())
     assert names("a.json") == ["A"] and names("b.json", country="us") == ["C"]
+    (tmp_path / "many").mkdir()
+    for f in "xyz":
+        (tmp_path / f"many/{f}.json").write_text("[" + ",".join(f'{{"name": "{f}{k}", "url": "u"}}' for k in range(50)) + "]")
+    first = candidates(records(spark, str(tmp_path / "many"), schema, placed=True), limit=70)
+    assert sorted(r["name"] for r in first.collect()) == sorted([f"x{k}" for k in range(50)] + [f"y{k}" for k in range(20)])
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):

@@ -100,3 +100,26 @@ def test_pages_and_recipients_without_values(spark):
     none = F.lit(None).cast("string")
     nothing = lambda *names: F.struct(*[none.alias(n) for n in names])
     assert one(spark, V.recipient(nothing("identity_key", "name", "domain"), nothing("type", "value", "title", "class", "source_url"), nothing("contact_uid", "name", "role", "email", "source_url"))) is None
+
+
+SCHEMA = {
+    "required": ["name", "tags"],
+    "properties": {"name": {"type": "string", "enum": ["a", "b"]}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}, "sure": {"type": "boolean"}},
+}
+ANSWERS = [
+    ('Here: {"name": "a", "tags": [{"n": 1}]} done', '{"name": "a", "tags": [{"n": 1}]}', None),
+    ('```json\n{"name": "c", "tags": []}\n```', '{"name": "c", "tags": []}', "output.name must be one of ['a', 'b']"),
+    ('{broken [1, {"x": "}"}] {}', '[1, {"x": "}"}]', "output must be a JSON object"),
+    ('{"name": "b"} {"tags": 1}', '{"name": "b"}', "output missing required key 'tags'"),
+    ('{"name": "b", "tags": [{"n": 1}, {"n": 1.5}]}', '{"name": "b", "tags": [{"n": 1}, {"n": 1.5}]}', "output.tags[1].n must be an integer"),
+    ('{"name": "b", "tags": [{"n": 1}, {"n": 2}, {"n": 3}], "sure": 1}', '{"name": "b", "tags": [{"n": 1}, {"n": 2}, {"n": 3}], "sure": 1}', "output.tags exceeds 2 items"),
+    ("no value {at all", None, "output must be a JSON object"),
+]
+
+
+def test_values_of_free_texts_and_their_faults(spark):
+    from quarry.functions import json as J
+
+    df = spark.createDataFrame([(k, a) for k, (a, _, _) in enumerate(ANSWERS)], "k int, a string").withColumn("v", J.first_json(F.col("a")))
+    got = {r.k: (r.v, r.e) for r in df.withColumn("e", J.schema_error(F.try_parse_json("v"), SCHEMA)).collect()}
+    assert got == {k: (v, e) for k, (_, v, e) in enumerate(ANSWERS)}
