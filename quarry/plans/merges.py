@@ -160,7 +160,7 @@ def ingested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, people = store.read("stations"), store.read("contacts").groupBy("station").agg(F.count("*").alias("contacts"), F.max("first_stored_at").alias("contact_since"), F.max(F.size("provenance")).alias("provenance"))
     facts, paths = store.read("facts").groupBy("station").agg(F.count("*").alias("facts"), F.max("source_url").alias("fact_at")), store.read("submissions").select("station", F.col("payload")["day"].alias("submission"))
     out = s.join(people, "station", "left").join(facts, "station", "left").join(paths, "station", "left").join(store.read("fetches").select("station", F.col("url").alias("fetch_url")), "station", "left")
-    return out.select("station", "name", "city", "status", F.array_join("genres", ",").alias("genres"), "discovered_at", "last_observed_at", "first_stored_at", "last_stored_at", "contacts", "contact_since", "provenance", "facts", "fact_at", "submission", "fetch_url")
+    return out.select("station", "name", "city", "status", F.array_join("genres", ",").alias("genres"), "discovered_at", "last_observed_at", "first_stored_at", "last_stored_at", F.coalesce("contacts", F.lit(0)).alias("contacts"), "contact_since", F.coalesce("provenance", F.lit(0)).alias("provenance"), "facts", "fact_at", "submission", "fetch_url")
 
 
 INGESTED_TABLES = """
@@ -176,7 +176,7 @@ last AS (SELECT station, b, arg_max((o_orderpriority, o_orderstatus, day), o_ord
 people AS (SELECT n.station, 1 AS contacts, CASE WHEN n.b = 1 OR p.c[1] = n.c[1] AND p.c[2] = n.c[2] THEN 'early' ELSE 'late' END AS contact_since,
     CASE WHEN n.b = 2 AND p.c[1] = n.c[1] AND p.c[2] = n.c[2] AND p.c[3] <> n.c[3] THEN 2 ELSE 1 END AS provenance
     FROM (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY station ORDER BY b DESC) = 1) n LEFT JOIN (SELECT * FROM last WHERE b = 1) p ON p.station = n.station)
-SELECT station, name, city, status, genres, discovered_at, last_observed_at, first_stored_at, last_stored_at, contacts, contact_since, provenance, facts, fact_at, submission, fetch_url
+SELECT station, name, city, status, genres, discovered_at, last_observed_at, first_stored_at, last_stored_at, coalesce(contacts, 0)::BIGINT AS contacts, contact_since, coalesce(provenance, 0)::INT AS provenance, facts, fact_at, submission, fetch_url
 FROM s JOIN g USING (station) LEFT JOIN people USING (station) LEFT JOIN f USING (station)
 """
 
