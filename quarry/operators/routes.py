@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import reserved_host
-from ..functions.vocabulary import MUSIC_ROLES
+from ..functions.vocabulary import DECISION_ROLES
 
 ROUTE = ["station", "kind", "priority", "confidence", "state", "value", "place"]
 # fixed values: (category, priority, confidence in hundredths) of page routes
@@ -36,12 +36,13 @@ def submission_routes(submissions: DataFrame) -> DataFrame:
 
 def real_address(email: Column) -> Column:
     """An address on a host that is not reserved for tests."""
-    return email.isNotNull() & ~reserved_host(F.substring_index(email, "@", -1))
+    return F.coalesce(email != "", F.lit(False)) & ~reserved_host(F.substring_index(email, "@", -1))
 
 
 def contact_routes(contacts: DataFrame) -> DataFrame:
-    """From (station, role, email, phone): music roles, general inboxes, and hosts without a channel."""
-    music, way = F.col("role").isin(MUSIC_ROLES), F.coalesce("email", "phone")
+    """From (station, role, email, phone): music roles, general inboxes, and hosts without a channel; an empty channel is none."""
+    contacts = contacts.withColumns({c: F.nullif(c, F.lit("")) for c in ("email", "phone")})
+    music, way = F.col("role").isin(DECISION_ROLES), F.coalesce("email", "phone")
     priority = F.when(music & way.isNotNull(), 2).when((F.col("role") == "general") & F.col("email").isNotNull(), 3).when(F.col("role").isin("host", "dj") & way.isNull(), 4)
     confidence = F.when(priority == 2, 72).when(priority == 3, 55).otherwise(35)
     state = F.when((priority < 4) & real_address(F.col("email")), "ACTIONABLE").otherwise("DISCOVERED")

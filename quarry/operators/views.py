@@ -122,7 +122,7 @@ def best_contact_route(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     usable = ranked.withColumn("level", looked_up(F.col("kind"), FALLBACK_LEVELS, None)).filter("state in ('ACTIONABLE', 'VERIFIED') and value <> '' and level is not null")
     best = usable.groupBy("station").agg(F.min(F.struct("level", "rank", "value")).alias("_best"))
-    own = F.coalesce(real_address(F.col("email")), F.lit(False))
+    own = F.coalesce(real_address(F.col("email")) & F.contains("email", F.lit("@")), F.lit(False))
     df = contacts.join(best, "station", "left")
     return df.withColumn("route_level", F.when(own, 1).otherwise(F.col("_best.level"))).withColumn("route_value", F.when(own, F.concat(F.lit("mailto:"), "email")).otherwise(F.col("_best.value"))).drop("_best")
 

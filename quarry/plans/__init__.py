@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import candidates, contacts, evidence, listings, merges, opportunities, pages, people, records, texts, urls, views
+from . import candidates, contacts, documents, evidence, listings, merges, opportunities, pages, people, records, texts, urls, views
 
 FLAGSHIP = "opportunities"
-_ALL = [people, views, contacts, records, urls, texts, pages, candidates, evidence, merges, listings, opportunities]
+_ALL = [documents, people, views, contacts, records, urls, texts, pages, candidates, evidence, merges, listings, opportunities]
 
 
 def queries() -> dict:
