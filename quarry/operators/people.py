@@ -99,26 +99,34 @@ def page_contacts(pages: DataFrame, key: str) -> DataFrame:
     staff = staff_entries(df.filter(P.is_directory(F.col("url"), F.col("title"), F.col("text")) & ~F.coalesce(person_form(F.col("url")), F.lit(False))).select(key, "text"), key)
     staff = staff.select(key, F.coalesce("email", F.concat(F.lit("name:"), F.lower("name"))).alias("contact"), F.lit(2).alias("way"), F.col("at").alias("place"), "name", "role", "email", "phone", "percent")
 
-    role_at = lambda value: F.get(F.filter(F.transform("lines", lambda x, k: F.when(F.contains(F.lower(x), value), k)), lambda k: k.isNotNull()), F.lit(0))
-    found = df.select(key, "lines", F.posexplode(emails_in(F.col("text"))).alias("place", "email")).withColumn("line_at", role_at(F.col("email")))
-    near = F.when(F.col("line_at").isNotNull(), P.role_near(F.col("lines"), F.col("line_at"))["role"]).otherwise("unknown")
-    mails = found.select(key, F.col("email").alias("contact"), F.lit(1).alias("way"), "place", none.alias("name"), near.alias("role"), "email", none.alias("phone"), F.lit(30).alias("percent"))
-    links = df.select(key, F.coalesce(role_of(F.col("text")), F.lit("unknown")).alias("role"), F.posexplode(mailto_addresses(F.col("mailtos"))).alias("place", "email"))
-    links = links.select(key, F.col("email").alias("contact"), F.lit(3).alias("way"), "place", none.alias("name"), "role", "email", none.alias("phone"), F.lit(25).alias("percent"))
-    tels = df.select(key, "lines", F.get(phones_in(F.col("text")), F.lit(0)).alias("phone")).filter("phone is not null").withColumn("line_at", role_at(F.col("phone")))
-    near = F.when(F.col("line_at").isNotNull(), P.role_near(F.col("lines"), F.col("line_at"))["role"]).otherwise("unknown")
-    tels = tels.select(key, F.concat(F.lit("phone:"), "phone").alias("contact"), F.lit(4).alias("way"), F.lit(0).alias("place"), none.alias("name"), near.alias("role"), none.alias("email"), "phone", F.lit(20).alias("percent"))
-
-    every = mails.unionByName(staff).unionByName(links).unionByName(tels)
+    # addresses of the text and of links, and the first number, as rows of one scan
+    none_yet = F.array().cast("array<struct<way:int,place:int,value:string>>")
+    at = lambda way: lambda value, k: F.struct(F.lit(way).alias("way"), k.alias("place"), value.alias("value"))
+    tel = F.get(phones_in(F.col("text")), F.lit(0))
+    values = F.concat(none_yet, F.transform(emails_in(F.col("text")), at(1)), F.coalesce(F.transform(mailto_addresses(F.col("mailtos")), at(3)), none_yet), F.when(tel.isNotNull(), F.array(at(4)(tel, F.lit(0)))).otherwise(none_yet))
+    whole = F.when(F.size("mailtos") > 0, role_of(F.col("text")))
+    found = df.select(key, "lines", whole.alias("_whole"), F.explode(values).alias("v")).select(key, "lines", "_whole", "v.*")
+    line_at = F.get(F.filter(F.transform("lines", lambda x, k: F.when(F.contains(F.lower(x), F.col("value")), k)), lambda k: k.isNotNull()), F.lit(0))
+    found = found.withColumn("line_at", F.when(F.col("way") != 3, line_at))
+    near = F.when(F.col("line_at").isNotNull(), P.role_near(F.col("lines"), F.col("line_at"))["role"])
+    is_tel = F.col("way") == 4
+    found = found.select(
+        key, F.when(is_tel, F.concat(F.lit("phone:"), "value")).otherwise(F.col("value")).alias("contact"), "way", "place", none.alias("name"), F.coalesce(F.when(F.col("way") == 3, F.col("_whole")).otherwise(near), F.lit("unknown")).alias("role"),
+        F.when(~is_tel, F.col("value")).alias("email"), F.when(is_tel, F.col("value")).alias("phone"), looked_up(F.col("way"), {1: 30, 3: 25, 4: 20}, 0).alias("percent"),
+    )
+
+    every = found.unionByName(staff)
     rest = ["way", "place", "name", "role", "email", "phone", "percent"]
     listed = F.min(F.when(F.col("way") == 2, F.col("place"))).alias("_listed")  # an entry that is replaced keeps its place
     one = every.groupBy(key, "contact").agg(F.min(F.struct(*rest)).alias("x"), listed).select(key, "contact", "_listed", "x.*")
     first = one.withColumn("_best", F.min("way").over(Window.partitionBy(key))).filter("way < 4 or _best = 4").drop("_best")
     names = df.select(key, F.posexplode(P.names_in(F.col("text"))).alias("_place", "_x")).select(key, "_place", F.col("_x.name").alias("name"), F.col("_x.role").alias("role"))
-    nth = lambda order: F.row_number().over(Window.partitionBy(key, "role").orderBy(*order))
-    open_ones = first.filter("name is null").drop("name").withColumn("_n", nth([F.col("_listed").asc_nulls_last(), "way", "place"]))
-    named = open_ones.join(names.withColumn("_n", nth(["_place"])).select(key, "role", "_n", "name"), [key, "role", "_n"], "left")
-    return first.filter("name is not null").unionByName(named.select(first.columns)).drop("place", "_listed")
+    # the first contacts without a name get the first names of their role; rows are read once, those with a name meet none
+    open_one = F.col("name").isNull()
+    place = F.row_number().over(Window.partitionBy(key, "role", open_one).orderBy(F.col("_listed").asc_nulls_last(), "way", "place"))
+    names = names.select(key, "role", F.col("name").alias("_name"), F.row_number().over(Window.partitionBy(key, "role").orderBy("_place")).alias("_n"))
+    named = first.withColumn("_n", F.when(open_one, place)).join(names, [key, "role", "_n"], "left")
+    return named.withColumn("name", F.coalesce("name", "_name")).select(*[c for c in first.columns if c not in ("place", "_listed")])
 
 
 # fixed values: roles that come after those that decide on music

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import html as H
 from ..operators import people as O
+from ..operators.dedupe import _written as written
 from ..sources import table
 from .contacts import _CONTACTS, _FIRST, _LAST, _contacts, _names, _pick, _sql_pick
 
@@ -51,9 +52,9 @@ UNION ALL SELECT c_custkey, 'name:ivy ash', 'Ivy Ash', 'station_manager', NULL,
 
 
 def crawled_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT14 over the crawled pages, parsed (no SQL: parsing HTML has none)."""
+    """TXT14 over the crawled pages (no SQL: parsing HTML has none); pages are parsed once and written, and what is read of them reads that."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", H.parse_page(F.col("url"), F.col("html")).alias("p"))
-    return O.page_contacts(p.select("page_id", "url", "p.title", "p.text", "p.mailtos"), "page_id")
+    return O.page_contacts(written(p.select("page_id", "url", "p.title", "p.text", "p.mailtos")), "page_id")
 
 
 def contact_places(spark: SparkSession, sf_dir: str) -> DataFrame:
