@@ -26,7 +26,7 @@ def _lines(pages: DataFrame, key: str) -> DataFrame:
     """(key, at, line, and what a line says) of the lines of pages (key, text): each line is read once."""
     df = pages.select(key, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
     phone = F.regexp_extract("line", f"({PHONE})", 1)
-    a, b = F.col("line").rlike(NAME_THEN_ROLE), F.col("line").rlike(ROLE_THEN_NAME)
+    a, b = F.col("line").rlike(NAME_THEN_ROLE), F.col("line").contains(":") & F.col("line").rlike(ROLE_THEN_NAME)
     part = lambda pattern, group: F.regexp_extract("line", pattern, group)
     return df.select(
         key, "at", "line", P.is_person(F.col("line")).alias("named"), P.is_role_line(F.col("line")).alias("role_line"), normalize_email(F.nullif(F.regexp_extract("line", f"({EMAIL})", 1), F.lit(""))).alias("mail"),
@@ -55,6 +55,7 @@ def staff_entries(pages: DataFrame, key: str) -> DataFrame:
     what = F.struct("line", "named", "role_line", "mail", "tel")
     df = _lines(pages, key).withColumn("here", what)
     df = df.select("*", F.lag("here", 1).over(w).alias("before"), *[F.lead("here", k).over(w).alias(f"n{k}") for k in range(1, 6)])
+    df = df.filter("name is not null or named")  # no other line begins an entry
     one_line = _nearby([F.col(c) for c in ("before", "here", "n1", "n2", "n3")])
 
     # below a name: its lines up to a blank one, a name, or a role that the next name has

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from ..operators import html as H
 from ..operators import people as O
 from ..operators.dedupe import _written as written
-from ..sources import table
+from ..sources import dealt, table
 from .contacts import _CONTACTS, _FIRST, _LAST, _contacts, _names, _pick, _sql_pick
 
 _NAME_SQL = f"({_sql_pick(_FIRST, 'c_custkey')} || ' ' || {_sql_pick(['Lee', 'Ray', 'Stone', 'Hill'], 'c_custkey')})"
 
 
 def _staff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with four people: by line, by role before and after the name, with and without an address."""
+    """Pages with four people: by line, by role before and after the name, with and without an address.
+
+    Keys are few bytes and pages are long to read, so keys are dealt to as many tasks as a shuffle has before texts are made of them.
+    """
     k = F.col("c_custkey")
     name = F.concat_ws(" ", _pick(_FIRST, "c_custkey"), _pick(["Lee", "Ray", "Stone", "Hill"], "c_custkey"))
     text = F.concat(
         F.lit("Our station\n\n"), name, F.lit(" - Music Director\nm"), k, F.lit("@x.org (203) 555-0"), F.lpad(k % 1000, 3, "0"), F.lit("\n\nZed Young\nAccountant\n\n"),
         F.lit("Kim Moss\nsome words\nk"), k, F.lit("@x.org\n\nProgram Director\nTom Oak\n\nHost: Una Pine\nUna Pine, DJ\n\n"), F.when(k % 2 == 0, "Ivy Ash\nStation Manager\n").otherwise("Ivy Ash\n\nStation Manager\n"),
     )
-    return table(spark, sf_dir, "customer").select(k, F.when(k % 3 > 0, "https://x.org/staff").otherwise("https://x.org/email.php?id=1").alias("url"), F.lit("Page").alias("title"), text.alias("text"), F.array(F.lit("z@x.org?subject=a"), F.concat(F.lit("M"), k, F.lit("@x.org"))).alias("mailtos"))
+    return dealt(table(spark, sf_dir, "customer").select(k), "c_custkey").select(k, F.when(k % 3 > 0, "https://x.org/staff").otherwise("https://x.org/email.php?id=1").alias("url"), F.lit("Page").alias("title"), text.alias("text"), F.array(F.lit("z@x.org?subject=a"), F.concat(F.lit("M"), k, F.lit("@x.org"))).alias("mailtos"))
 
 
 def staff_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by a hash of the key, in as many partitions as the session's shuffles have: for small rows that are long to work on."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def records(spark: SparkSession, path: str, schema: str, fields: tuple[str, ...] = ("records", "stations", "djs"), placed: bool = False) -> DataFrame:
     """Records of JSON files that are a list, or an object with the list under one of the fields.
 

@@ -54,3 +54,21 @@ def test_draft_of_nothing(spark):
     nothing = lambda *names: F.struct(*[none.alias(n) for n in names])
     d = spark.range(1).select(O.draft(nothing("name", "role", "organization"), nothing("title", "listen_url", "description"), nothing("name")).alias("d")).first()["d"]
     assert (d["greeting"], d["subject"]) == ("Hello,", "New music submission") and "a new track" in d["message"]
+
+
+def test_texts_made_of_keys_are_read_by_all_tasks(spark, sf_dir):
+    from quarry.plans import people
+
+    df = people._staff(spark, sf_dir)
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1  # the table is one small file
+    text = people.staff_entries(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1  # keys are dealt once, lines and entries stay where they are
+
+
+def test_names_are_cleaned_once(spark):
+    from quarry.functions import people as P
+
+    df = spark.createDataFrame([("\u00a0 Ann Lee,",), ("ann Lee",), ("Ann LEEE",), (None,), ("Staff Page",), ("Ann",)], "t string")
+    x = df.select(P.is_person(F.col("t")).alias("x"))
+    assert [r[0] for r in x.collect()] == [True, False, False, False, False, False]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("2002") <= 2  # white space of a name; it was seven times
