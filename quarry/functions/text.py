@@ -22,20 +22,25 @@ def normalize_email(raw: Column) -> Column:
     outer = "[" + re.escape(_OUTER) + "]"
     x = F.lower(F.trim(F.regexp_replace(raw, _INVISIBLE, "")))
     x = F.regexp_replace(F.regexp_replace(x, f"^{outer}+", ""), f"(?:{outer}|\\.)+$", "")
-    x = F.regexp_replace(x, r"\s+", "")
-    local, domain = F.regexp_extract(x, "^(.*)@", 1), F.regexp_extract(x, "@([^@]*)$", 1)
     bad = r"^\.|\.$|\.\."
-    return F.when(x.rlike(f"^{EMAIL}$") & ~local.rlike(bad) & ~domain.rlike(bad), x)
+
+    def valid(x: Column) -> Column:
+        return F.when(x.rlike(f"^{EMAIL}$") & ~F.regexp_extract(x, "^(.*)@", 1).rlike(bad) & ~F.regexp_extract(x, "@([^@]*)$", 1).rlike(bad), x)
+
+    return F.get(F.transform(F.array(F.regexp_replace(x, r"\s+", "")), valid), F.lit(0))  # cleaned once, judged by its value
 
 
 def emails_in(text: Column) -> Column:
     """Distinct addresses in order of first sight: plain ones, then `a [at] b [dot] c` decoded; plain words are never decoded."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), _INVISIBLE, "")
-    plain = F.regexp_extract_all(clean, F.lit(f"({EMAIL})"), F.lit(1))
-    # the pattern of hidden addresses tries every run of word characters: only texts with an `at` mark are searched
-    marked = F.when(clean.rlike(rf"{_AT}[\s\S]*{_DOT}"), clean).otherwise("")
-    hidden = F.transform(F.regexp_extract_all(marked, F.lit(f"({_HIDDEN})"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, rf"\s*{_AT}\s*", "@"), rf"\s*{_DOT}\s*", "."))
-    return F.array_distinct(F.filter(F.transform(F.concat(plain, hidden), normalize_email), lambda x: x.isNotNull()))
+
+    def found(clean: Column) -> Column:
+        # both patterns try every run of word characters: only texts with an @, or with an `at` and a `dot` mark, are searched
+        plain = F.regexp_extract_all(F.when(clean.contains("@"), clean).otherwise(""), F.lit(f"({EMAIL})"), F.lit(1))
+        marked = F.when(clean.rlike(_DOT) & clean.rlike(rf"{_AT}[\s\S]*{_DOT}"), clean).otherwise("")
+        hidden = F.transform(F.regexp_extract_all(marked, F.lit(f"({_HIDDEN})"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, rf"\s*{_AT}\s*", "@"), rf"\s*{_DOT}\s*", "."))
+        return F.array_distinct(F.filter(F.transform(F.concat(plain, hidden), normalize_email), lambda x: x.isNotNull()))
+
+    return F.get(F.transform(F.array(F.regexp_replace(F.coalesce(text, F.lit("")), _INVISIBLE, "")), found), F.lit(0))
 
 
 def mailto_addresses(values: Column) -> Column:
