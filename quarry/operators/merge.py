@@ -30,10 +30,14 @@ def merge_json(old: Column, new: Column) -> Column:
     none = F.array().cast("array<string>")
     o, n = F.coalesce(old, none), F.coalesce(new, none)
     form = lambda x: F.coalesce(F.to_json(F.try_parse_json(x)), x)  # noqa: E731  keys of a variant are sorted
-    had = F.transform(o, form)
-    came = F.transform(n, lambda x: F.struct(form(x).alias("form"), x.alias("text")))
-    first = F.filter(came, lambda x, k: ~F.array_contains(had, x["form"]) & (F.array_position(F.transform(came, lambda y: y["form"]), x["form"]) == k + 1))
-    return F.concat(o, F.transform(first, lambda x: x["text"]))
+
+    def first(x: Column) -> Column:
+        """The new texts whose form is neither there nor that of an earlier one."""
+        return F.filter(x["new"], lambda y, k: ~F.array_contains(x["had"], F.get(x["came"], k)) & (F.array_position(x["came"], F.get(x["came"], k)) == k + 1))
+
+    # forms are made once, and then compared as values
+    once = F.transform(F.array(F.struct(F.transform(o, form).alias("had"), F.transform(n, form).alias("came"), n.alias("new"))), first)
+    return F.concat(o, F.get(once, F.lit(0)))
 
 
 def merge_maps(old: Column, new: Column, newest: bool = False) -> Column:

@@ -61,3 +61,9 @@ def test_json_is_one_whatever_the_order_of_keys(spark):
     old, new = ['{"a":1,"b":[1,{"x":null,"y":2}]}', "plain"], ['{"b":[1,{"y":2,"x":null}], "a":1}', "plain", '{"c":1}', '{ "c" : 1 }', "[2,1]", "[1,2]"]
     df = spark.createDataFrame([(old, new), (None, ["x", "x"]), (["x"], None)], "o array<string>, n array<string>")
     assert [r[0] for r in df.select(M.merge_json(F.col("o"), F.col("n"))).collect()] == [[*old, '{"c":1}', "[2,1]", "[1,2]"], ["x"], ["x"]]
+
+
+def test_provenance_is_parsed_once(spark):
+    df = spark.createDataFrame([([], [])], "o array<string>, n array<string>")
+    text = df.select(M.merge_json(F.col("o"), F.col("n")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("parse_json") == 2  # once for what is stored, once for what comes; a text was parsed again for each it was compared with
