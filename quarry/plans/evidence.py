@@ -9,6 +9,7 @@ from ..functions.score import age_days, is_stale, source_strength
 from ..functions.text import emails_in, phones_in
 from ..functions.vocabulary import MAX_AGE_DAYS, OUTCOMES, SOURCE_STRENGTH, VERIFICATION_STATES
 from ..operators import verify as V
+from ..operators.dedupe import _written as written
 from ..sources import table
 
 _TYPES = ["official_website_page", "contact_page", "directory_source", "search_source", "other"]
@@ -94,8 +95,9 @@ def contact_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contact_verification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VER3, VER6, AGG5, SCR16 and STR6: states of addresses and phone numbers at a given time; each was verified when last seen."""
-    last = _contact_facts(spark, sf_dir).groupBy("claim", "kind").agg(F.max("discovered_at").alias("verified_at"))
-    claims = contact_outcomes(spark, sf_dir).join(last, ["claim", "kind"])
+    facts = written(_contact_facts(spark, sf_dir))  # texts are searched once
+    last = facts.groupBy("claim", "kind").agg(F.max("discovered_at").alias("verified_at"))
+    claims = V.evaluate(facts, ["claim"]).select("claim", "kind", "outcome").join(last, ["claim", "kind"])
     stale = is_stale(F.col("verified_at"), F.lit(_NOW).cast("timestamp"), MAX_AGE_DAYS)
     return V.status_summary(claims.withColumn("status", V.verification_status(F.col("outcome"), stale)))
 

@@ -14,3 +14,10 @@ def test_facts_of_the_whole_text_are_compared(spark, tmp_path):
     assert {tuple(r) for r in run("contact_outcome_summary") if r["n"]} == {("corroborated", 1), ("single_source", 2)}
     states = {tuple(r) for r in run("contact_verification_summary") if r["n"]}
     assert sum(n for _, n in states) == 3 and ("unverified", 2) in states
+
+
+def test_states_search_texts_once(spark, sf_dir):
+    from quarry import plans
+
+    text = plans.queries()["contact_verification_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in text and "regexp_extract_all" not in text  # what was found is written, and read twice
