@@ -103,3 +103,20 @@ def test_parsed_pages_equal_patterns(spark, sf_dir):
         hrefs = [h for h in re.findall(r'(?i)<a\s[^>]*href="([^"]*)"', body) if h.strip()]
         assert got[p.page_id].n_links + got[p.page_id].n_mailtos == len(hrefs)
         assert got[p.page_id].n_forms == len(re.findall(r"(?i)<form\b", body))
+
+
+def test_a_batch_of_pages_is_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+    from quarry.operators.html import parsed
+
+    page = "".join(f'<p><a href="/x{k}">a{k}</a></p>' for k in range(100))
+    urls, pages = pa.array(["https://a.org/"] * 2000), pa.array([page] * 2000)
+    tracemalloc.start()
+    out = parsed(urls, pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2000 and out[1999].as_py()["links"][99] == {"href": "https://a.org/x99", "anchor": "a99"}
+    assert peak < 10_000_000  # 64 pages of 100 links; all at once take some 100 MB
+    assert len(parsed(urls[:0], pages[:0])) == 0 and parsed(pa.array([None], pa.string()), pa.array([None], pa.string()))[0].as_py()["links"] == []
