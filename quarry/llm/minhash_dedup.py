@@ -47,6 +47,7 @@ LOSS = 1e-5  # chance that a link at the threshold is beyond the radius
 MOST_CHUNKS, MOST_KEYS = 31, 128  # of a signature
 MOSTLY = 0.75  # once so many of the nearest pairs are linked, little is left and all other pairs are sent
 CELLS = 1 << 23  # bytes of signatures compared at once
+KEYED = 1 << 15  # nodes that give their keys in one task, which holds most of these keys at once
 _rng = np.random.Generator(np.random.PCG64(11))
 _PERMUTE = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOL = _rng.integers(1, 2**63, (512, 256), dtype=np.uint64)
@@ -116,6 +117,12 @@ def _keys(chunks: int):
     return emit
 
 
+def _keyed(nodes: DataFrame, chunks: int) -> DataFrame:
+    """(key, node) of all nodes, in tasks of some KEYED nodes: a task that reads a whole file of them has too many keys for its memory."""
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // KEYED))
+    return nodes.select("node", "sig").repartition(tasks, "node").mapInArrow(_keys(chunks), "key long, node long")
+
+
 def _second_keys(chunks: int):
     """From (low, chunk, node, comp, sig): the same rows once for each key of a later chunk, which cuts the group."""
 
@@ -272,7 +279,7 @@ def _join(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFram
     known = spool(texts.mapInArrow(_signed(size, chunks * width), "doc_id long, tx long, n long, node long, sig binary"), "known")
     nodes = spool(known.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tx", "n", "sig")).alias("x")).select("node", "x.*"), "nodes")
 
-    keys = nodes.select("node", "sig").mapInArrow(_keys(chunks), "key long, node long")
+    keys = _keyed(nodes, chunks)
     ends = spool(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
     shared = spool(keys.join(ends, "key").groupBy("node", "low", "high").agg(F.count("*").alias("times")), "shared")
     discard(ends)

@@ -88,3 +88,16 @@ def test_empty_table_gives_no_rows(spark):
 def test_query_equals_all_pairs_on_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in read(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert result(md.op11_minhash_near_dedup(spark, sf_dir)) == expected(rows, 3, 85)
+
+
+def test_keys_come_from_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(md, "KEYED", 100)
+    chunks, width = md.layout(85)
+    made = spark.range(3000, numPartitions=1).select("id", F.rpad(F.sha2(F.col("id").cast("string"), 512), chunks * width, "x").cast("binary").alias("sig"))
+    made.withColumnRenamed("id", "node").write.parquet(str(tmp_path / "nodes"))  # one file, as small tables are written
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    task = md._keyed(nodes, chunks).groupBy(F.spark_partition_id()).agg(F.count_distinct("node").alias("n"))
+    counts = [r.n for r in task.collect()]
+    assert sum(counts) == 3000 and max(counts) <= 2 * 100
+    keys = {tuple(r) for r in md._keyed(nodes.limit(50), chunks).collect()}
+    assert keys == {(int(k), r.node) for r in nodes.limit(50).collect() for k in md.chunk_keys(np.frombuffer(r.sig, np.uint8)[None, :], chunks).view(np.int64).reshape(-1)}
