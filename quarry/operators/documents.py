@@ -96,34 +96,38 @@ def contact_views(contacts: DataFrame, ranked: DataFrame) -> DataFrame:
     raw = F.when(mail, F.col("email")).when(tel, F.col("phone"))
     why = F.when(has_role, F.concat(F.replace(role, F.lit("_"), F.lit(" ")), F.lit(" - role label on station website"))).when(name, "named contact from station website").otherwise("observed contact from station website")
     level = relevance(role, F.col("preferred"), F.trim("name"))
-    df = contacts.withColumns({
-        "method": F.when(mail, "email").when(tel, "phone"), "value_raw": raw, "value_normalized": F.when(mail, F.lower(F.trim("email"))).otherwise(_same_number(raw)),
-        "identity_state": F.when(name, "named").when(has_role & (F.lower(role) != "unknown"), "role_based").otherwise("unattributed_observation"),
-        "evidence_state": F.when(mail, "VERIFIED").when(tel, "EVIDENCE-BACKED").otherwise("DISCOVERED"), "role_reason": why, "route_class": route_class(role), "relevance": level["score"], "relevance_label": level["label"],
-    })
+    identity = F.when(name, "named").when(has_role & (F.lower(role) != "unknown"), "role_based").otherwise("unattributed_observation")
     all_sources = F.filter(F.concat(F.array("source_url"), F.coalesce("sources", F.array().cast("array<string>"))), lambda u: truthy(u))
+    rest = [c for c in contacts.columns if c not in ("station", "source_url", "sources")]
+    df = contacts.withColumns({"method": F.when(mail, "email").when(tel, "phone"), "value_normalized": F.when(mail, F.lower(F.trim("email"))).otherwise(_same_number(raw)), "identity_state": identity, "_all": all_sources})
     alone = (F.col("identity_state") != "unattributed_observation") | F.col("method").isNull()
-    # rows that stay alone never meet: each is a group by its own place
+    # rows that stay alone never meet: each is a group by its own place, with its sources at hand
+    df = df.withColumn("_own", F.when(alone, F.array_distinct("_all")))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("p"), F.lit(None).cast("string").alias("u")))
+    sighted = F.when(alone | (F.size("_all") == 0), none).otherwise(F.transform("_all", lambda u, p: F.struct(p.alias("p"), u.alias("u"))))
     group = ["station", F.when(~alone, F.col("method")).alias("_m"), F.when(~alone, F.col("value_normalized")).alias("_v"), F.when(alone, F.col("ord")).alias("_o")]
-    df = df.select("*", *group[1:], all_sources.alias("_all")).drop("sources")
-    keys, rest = ["station", "_m", "_v", "_o"], [c for c in df.columns if c not in ("station", "_m", "_v", "_o", "_all", "source_url")]
+    keys, kept = ["station", "_m", "_v", "_o"], [*rest, "method", "value_normalized", "identity_state", "_own"]
     # first by source, then by value: every sighting has one row without a place or with the first one
-    each = df.select(*keys, "ord", "source_url", F.struct(*rest).alias("x"), F.posexplode_outer("_all").alias("_p", "_u")).groupBy(*keys, "_u").agg(
-        F.min(F.struct("ord", "_p")).alias("_at"), F.min_by("x", "ord").alias("x"), F.min(F.when(truthy(F.col("source_url")), F.struct("ord", "source_url"))).alias("_url"), F.count_if(F.coalesce("_p", F.lit(0)) == 0).alias("n"),
+    each = df.select(*group, "ord", "source_url", F.struct(*kept).alias("x"), F.explode(sighted).alias("_s")).groupBy(*keys, F.col("_s.u").alias("_u")).agg(
+        F.min(F.struct("ord", "_s.p")).alias("_at"), F.min_by("x", "ord").alias("x"), F.min(F.when(truthy(F.col("source_url")), F.struct("ord", "source_url"))).alias("_url"), F.count_if(F.coalesce("_s.p", F.lit(0)) == 0).alias("n"),
     )
     views = each.groupBy(*keys).agg(
         F.min_by("x", "x.ord").alias("x"), F.min("_url").alias("_url"), F.sum("n").alias("observations"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_u").isNotNull(), F.struct("_at", "_u")))), lambda s: s["_u"]).alias("sources"),
     ).select("station", "x.*", F.col("_url.source_url").alias("source_url"), "sources", "observations")
+    views = views.withColumn("sources", F.coalesce("_own", "sources")).drop("_own")
+    # what follows from a contact's own fields is added last, and does not move with it
+    views = views.withColumns({
+        "value_raw": raw, "evidence_state": F.when(mail, "VERIFIED").when(tel, "EVIDENCE-BACKED").otherwise("DISCOVERED"), "role_reason": why, "route_class": route_class(role), "relevance": level["score"], "relevance_label": level["label"],
+    })
     return best_contact_route(views, ranked).withColumn("can_add_to_campaign", F.col("route_value").isNotNull())
 
 
 def listed(children: DataFrame, name: str, order: list[Column], fields: list[str], most: int) -> DataFrame:
     """(station, name, n_name): the first `most` children of each station as a list of these fields in order, and the number of all."""
-    w = Window.partitionBy("station")
-    # the number of all comes with the row of each child, so that no second pass and no unbounded list is needed
-    df = children.withColumns({"_at": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)}).filter(F.col("_at") <= most)
-    lists = df.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("_at", *fields))).alias("l"), F.max("_n").alias(f"n_{name}"))
+    df = children.withColumn("_at", F.row_number().over(Window.partitionBy("station").orderBy(*order)))
+    # the last place is the number of all, so that no second pass and no unbounded list is needed
+    lists = df.groupBy("station").agg(F.array_sort(F.collect_list(F.when(F.col("_at") <= most, F.struct("_at", *fields)))).alias("l"), F.max("_at").cast("long").alias(f"n_{name}"))
     return lists.select("station", F.transform("l", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name), f"n_{name}")
 
 

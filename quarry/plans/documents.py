@@ -120,7 +120,7 @@ views AS (SELECT station, ord, uid, name, role, method, value_raw, value_normali
 def contact_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLS8 and AGG14: contacts as a reader sees them, repeated sightings of one value without name and role as one."""
     pages, subs, contacts = _parts(spark, sf_dir)
-    df = D.contact_views(contacts, T.routes(pages, subs, contacts))
+    df = D.contact_views(contacts.repartition("station"), T.routes(pages, subs, contacts))
     return df.withColumns({"sources": F.array_join("sources", ","), "route_level": F.coalesce("route_level", F.lit(0))}).select("station", *D.CONTACT_FIELDS)
 
 
@@ -134,7 +134,7 @@ def station_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = lambda kind: contacts.filter(F.col(kind).isNotNull()).select("station", F.lit(kind).alias("kind"), F.col(kind).alias("value"), "source_url")
     facts, sent = fact("email").unionByName(fact("phone")).distinct(), subs.select("station", "submission_url", "submission_email")
     actions = C.best_actions(stations.select("station", F.lit(True).alias("investigated")), pages, sent, contacts.select("station", "role", "email", "phone"))
-    df = D.station_documents(stations, facts, contacts, sent, pages, ranked, actions, T.intelligence_level(ranked), MOST)
+    df = D.station_documents(stations, facts, contacts.repartition("station"), sent, pages, ranked, actions, T.intelligence_level(ranked), MOST)
     return df.select("station", F.to_json("document", {"ignoreNullFields": "false"}).alias("document"))
 
 

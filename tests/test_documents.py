@@ -93,3 +93,10 @@ def test_documents_over_buckets_exchange_nothing(spark, bucketed):
     one = docs[0]
     assert len(one["emails"]) == 3 and one["counts"]["emails"] == 12 and [e["value"] for e in one["emails"]] == ["v0", "v120", "v150"]
     assert len(one["contacts"]) == 3 and one["recommendation"]["route"]["value"] == "s0" and one["counts"]["outreach_routes"] == one["recommendation"]["routes"]
+
+
+def test_a_list_takes_one_window_and_keeps_no_more_than_it_shows(spark):
+    rows = spark.range(50).select((F.col("id") % 2).alias("station"), F.col("id").alias("ord"))
+    df = D.listed(rows, "places", [F.col("ord")], ["ord"], 3)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    assert {r.station: ([x.ord for x in r.places], r.n_places) for r in df.collect()} == {0: ([0, 2, 4], 25), 1: ([1, 3, 5], 25)}
