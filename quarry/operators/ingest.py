@@ -1,6 +1,7 @@
 """Ingest of station records into a store: stations, their facts, contacts, submission paths and fetches, in one version.
 
-A batch acts as one step.  A record that breaks a rule is a row of `failures` and stops no other.  Of records of one
+A batch acts as one step.  What a batch brings and what is stored both grow, so they meet in merge joins: neither is sent
+whole to the driver and from there to every task.  A record that breaks a rule is a row of `failures` and stops no other.  Of records of one
 station in a batch, the position in the batch is the order.
 """
 
@@ -74,10 +75,10 @@ def _one_of_each(good: DataFrame) -> DataFrame:
     for c, p in POLICY.items():
         if p == "list":
             each = good.select("station", "position", F.posexplode(c).alias("_p", "_v"))
-            out = out.join(M._in_order(each, "station", F.col("_v"), F.struct("position", "_p"), c), "station", "left")
+            out = out.join(M._in_order(each, "station", F.col("_v"), F.struct("position", "_p"), c).hint("merge"), "station", "left")
         elif p == "map":
             each = good.select("station", "position", F.explode(c).alias("_k", "_v")).groupBy("station", "_k").agg(F.min_by("_v", at).alias("_v"))
-            out = out.join(each.groupBy("station").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c)), "station", "left")
+            out = out.join(each.groupBy("station").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c)).hint("merge"), "station", "left")
     return out.select("station", *POLICY)
 
 
@@ -90,7 +91,7 @@ def _stations(now: str):
     def merge(stored: DataFrame, rows: DataFrame) -> DataFrame:
         both = M.merge_stored(stored.withColumn("_first", F.col("first_stored_at")).withColumn("_in", F.lit(None).cast("boolean")), rows.withColumn("_first", F.lit(None).cast("string")).withColumn("_in", F.lit(True)), "station", POLICY | {"_first": "fill", "_in": "newest"})
         was = stored.select("station", F.col("last_stored_at").alias("_last"))
-        out = both.join(was, "station", "left")
+        out = both.join(was.hint("merge"), "station", "left")
         return out.select("station", *POLICY, F.coalesce("_first", F.lit(now)).alias("first_stored_at"), F.when(F.col("_in"), F.lit(now)).otherwise(F.col("_last")).alias("last_stored_at"))
 
     return merge
@@ -101,10 +102,10 @@ def _with_first(key: list[str], now: str, replace: bool):
 
     def merge(stored: DataFrame, rows: DataFrame) -> DataFrame:
         old = stored.select(*key, F.col("first_stored_at").alias("_first"), *([F.col("provenance").alias("_old")] if "provenance" in stored.columns else []))
-        new = rows.join(old, key, "left").withColumn("first_stored_at", F.coalesce("_first", F.lit(now))).withColumn("last_stored_at", F.lit(now))
+        new = rows.join(old.hint("merge"), key, "left").withColumn("first_stored_at", F.coalesce("_first", F.lit(now))).withColumn("last_stored_at", F.lit(now))
         if "provenance" in stored.columns:
             new = new.withColumn("provenance", M.merge_lists(F.col("_old"), F.col("provenance")))
-        rest = stored.join(rows.select(*(["station"] if replace else key)).distinct(), ["station"] if replace else key, "left_anti")
+        rest = stored.join(rows.select(*(["station"] if replace else key)).distinct().hint("merge"), ["station"] if replace else key, "left_anti")
         return rest.unionByName(new.select(*stored.columns))
 
     return merge
@@ -112,7 +113,7 @@ def _with_first(key: list[str], now: str, replace: bool):
 
 def _replaced(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of stations that came take the place of all theirs; a row without a url only says that its station came."""
-    return stored.join(rows.select("station").distinct(), "station", "left_anti").unionByName(rows.filter("place >= 0"))
+    return stored.join(rows.select("station").distinct().hint("merge"), "station", "left_anti").unionByName(rows.filter("place >= 0"))
 
 
 def changes(records: DataFrame, batch: str, source: str, now: str) -> dict[str, Change]:

@@ -142,7 +142,7 @@ SELECT concat_ws(',', CASE WHEN NOT o_totalprice > 50000 THEN 'price' END, CASE
 def ingested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1, MRG7, MRG8 and SNK6: orders as records of the stations of their customers, ingested in two batches of which one is sent again; the stored tables by station."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.join(c.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))  # customers grow, and each join of a commit would send them through the driver
     none = lambda kind: F.lit(None).cast(kind)
     day, status = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus")
     columns = {
@@ -159,7 +159,9 @@ def ingested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         ingest.ingest(store, name, batch, "orders", name)
     s, people = store.read("stations"), store.read("contacts").groupBy("station").agg(F.count("*").alias("contacts"), F.max("first_stored_at").alias("contact_since"), F.max(F.size("provenance")).alias("provenance"))
     facts, paths = store.read("facts").groupBy("station").agg(F.count("*").alias("facts"), F.max("source_url").alias("fact_at")), store.read("submissions").select("station", F.col("payload")["day"].alias("submission"))
-    out = s.join(people, "station", "left").join(facts, "station", "left").join(paths, "station", "left").join(store.read("fetches").select("station", F.col("url").alias("fetch_url")), "station", "left")
+    out = s
+    for part in (people, facts, paths, store.read("fetches").select("station", F.col("url").alias("fetch_url"))):
+        out = out.join(part.hint("merge"), "station", "left")
     return out.select("station", "name", "city", "status", F.array_join("genres", ",").alias("genres"), "discovered_at", "last_observed_at", "first_stored_at", "last_stored_at", F.coalesce("contacts", F.lit(0)).alias("contacts"), "contact_since", F.coalesce("provenance", F.lit(0)).alias("provenance"), "facts", "fact_at", "submission", "fetch_url")
 
 

@@ -138,7 +138,7 @@ def upsert(key: list[str], order: list[str] | None = None) -> Merge:
     def merge(stored: DataFrame, rows: DataFrame) -> DataFrame:
         if order:
             return latest_per_key(stored.unionByName(rows), key, *[F.col(c) for c in order])
-        return stored.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)
+        return stored.join(rows.select(*key).distinct().hint("merge"), key, "left_anti").unionByName(rows)  # both grow: neither is sent whole to every task
 
     return merge
 

@@ -122,3 +122,12 @@ def test_records_are_merged_and_failures_stand_alone(spark, tmp_path):
     assert {(r.position, tuple(r.broken)) for r in store.read("failures").collect()} == {(2, ("name",)), (3, ("website", "confidence_score"))}
     runs = {r.batch: (r.accepted, r.failed, r.stations, r.contacts, r.submissions) for r in store.read("runs").collect()}
     assert runs == {"b1": (2, 2, 2, 1, 1), "b2": (2, 0, 1, 1, 0)}
+
+
+def test_merges_of_stored_and_incoming_rows_broadcast_neither(spark):
+    base = spark.range(5).selectExpr("cast(id as string) station", "cast(id as int) place", "'u' url", "'f' first_stored_at", "'l' last_stored_at")
+    merges = {"replaced": ingest._replaced, "upsert": upsert(["station"]), "first": ingest._with_first(["station"], "now", replace=False)}
+    for name, merge in merges.items():
+        df = merge(base, base.filter("place < 3"))
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+        assert sorted(r.station for r in df.collect()) == list("01234"), name
