@@ -14,7 +14,8 @@ words, or its whole sequence if it has fewer words.  Sets are linked when 100 *
    so join large groups of copies at once, without pairs within the group.
 4. What is left are keys whose nodes are of several components.  Keys of one least node are one group.  A group of
    more than TILE nodes is cut by its nodes' keys, and what is still larger by a second chunk: a pair within the
-   radius shares keys of two chunks.  Groups are compared in tiles, only across components.  Of pairs within the radius
+   radius shares keys of two chunks.  It stays whole where that leaves more to compare: texts around one passage share
+   many keys, so their pairs would meet again under each.  Groups are compared in tiles, only across components.  Of pairs within the radius
    those go on whose parity sketches allow a link (their Hamming distance is at most the sets' difference), and are
    confirmed on the full sets.  Rounds send the nearest pairs that join components, the last all others.
 
@@ -48,6 +49,7 @@ MOST_CHUNKS, MOST_KEYS = 31, 128  # of a signature
 MOSTLY = 0.75  # once so many of the nearest pairs are linked, little is left and all other pairs are sent
 CELLS = 1 << 23  # bytes of signatures compared at once
 KEYED = 1 << 15  # nodes that give their keys in one task, which holds most of these keys at once
+MOVED = 128  # pairs that are compared in about the time in which a row of a group is moved
 _rng = np.random.Generator(np.random.PCG64(11))
 _PERMUTE = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOL = _rng.integers(1, 2**63, (512, 256), dtype=np.uint64)
@@ -124,7 +126,7 @@ def _keyed(nodes: DataFrame, chunks: int) -> DataFrame:
 
 
 def _second_keys(chunks: int):
-    """From (low, chunk, node, comp, sig): the same rows once for each key of a later chunk, which cuts the group."""
+    """From (low, chunk, node, comp, sig): the same rows once for each key of a later chunk, which cuts the group; of is the group that was cut."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +136,8 @@ def _second_keys(chunks: int):
                 low, chunk = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
                 row, c, _ = np.nonzero(np.broadcast_to(np.arange(chunks)[None, :, None] > chunk[:, None, None], key.shape))
                 key = key[np.arange(chunks)[None, :] > chunk[:, None]].reshape(-1)
-                columns = [pa.array(mix(key * _PERMUTE[0] + low[row]).view(np.int64)), pa.array(c.astype(np.int32)), *(part.column(k).take(pa.array(row)) for k in (2, 3))]
-                yield pa.RecordBatch.from_arrays(columns, ["low", "chunk", "node", "comp"])
+                columns = [pa.array(mix(key * _PERMUTE[0] + low[row]).view(np.int64)), pa.array(c.astype(np.int32)), *(part.column(k).take(pa.array(row)) for k in (2, 3, 0))]
+                yield pa.RecordBatch.from_arrays(columns, ["low", "chunk", "node", "comp", "of"])
 
     return emit
 
@@ -236,30 +238,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _of_both(pairs, sets, "hashes").select(*pairs.columns, "a_hashes", "b_hashes").mapInArrow(_linked(percent), pairs.schema)
 
 
+def _cut(large: DataFrame, nodes: DataFrame, chunks: int) -> DataFrame:
+    """(low, chunk, node, comp, of) of groups of rows (low, chunk, node, comp), cut by the keys of later chunks."""
+    signed = large.join(nodes.select("node", "sig"), "node").select("low", "chunk", "node", "comp", "sig")
+    return signed.mapInArrow(_second_keys(chunks), "low long, chunk int, node long, comp long, of long")
+
+
+def _worth_cutting(large: DataFrame, nodes: DataFrame, chunks: int) -> DataFrame:
+    """(low) of the groups of which cutting leaves less to move and compare than tiles of the whole group do."""
+    price = F.col("size") * (F.col("size") + MOVED * F.ceil(F.col("size") / TILE))
+    whole = large.groupBy("low").agg(F.count("*").alias("size")).select("low", price.alias("whole"))
+    parts = _cut(large, nodes, chunks).groupBy("of", "low").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y")
+    parts = parts.groupBy("of").agg(F.sum(price).alias("cut")).withColumnRenamed("of", "low")
+    return whole.join(parts, "low", "left").filter("coalesce(cut, 0) < whole").select("low")
+
+
 def _open_rows(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, compared: DataFrame, chunks: int) -> DataFrame:
-    """(low, node, comp, tiles, n, sig, sketch) of groups with several components; groups above TILE are cut by further chunks."""
+    """(low, node, comp, tiles, n, sig, sketch) of groups with several components; groups above TILE are cut by further chunks where that saves work."""
     of_node = shared.groupBy("node").agg(F.collect_set("low").alias("lows")).join(labels, "node")  # a node has no more of them than keys
     rows = spool(of_node.select(F.explode("lows").alias("low"), F.lit(-1).alias("chunk"), "node", "comp"), "named")
     left = _open_groups(rows, compared)
     discard(rows)
-    parts = []
+    parts, used = [], [left]
     for _ in range(2):
-        parts.append(left.filter("tiles = 1"))
-        large = left.filter("tiles > 1")
+        large = left.filter("tiles > 1").drop("tiles")
         if large.isEmpty():
-            left = None
             break
-        cut = spool(large.join(nodes.select("node", "sig"), "node").select("low", "chunk", "node", "comp", "sig").mapInArrow(_second_keys(chunks), "low long, chunk int, node long, comp long"), "cut")
+        worth = spool(_worth_cutting(large, nodes, chunks), "worth")
+        parts.append(left.join(worth, "low", "left_anti"))
+        cut = spool(_cut(large.join(worth, "low", "left_semi"), nodes, chunks).drop("of"), "cut")
         left = _open_groups(cut)
         discard(cut)
-    if left is not None:
-        parts.append(left)
-    every = parts[0]
-    for p in parts[1:]:
+        used += [worth, left]
+    every = left
+    for p in parts:
         every = every.unionByName(p)
     every = every.groupBy("node", "comp").agg(F.collect_list(F.struct("low", "tiles")).alias("at"))
     every = every.join(nodes.select("node", "n", "sig"), "node").join(sets.select("node", "sketch"), "node")
-    return spool(every.select(F.explode("at").alias("at"), "node", "comp", "n", "sig", "sketch").select("at.low", "node", "comp", "at.tiles", "n", "sig", "sketch"), "rows")
+    out = spool(every.select(F.explode("at").alias("at"), "node", "comp", "n", "sig", "sketch").select("at.low", "node", "comp", "at.tiles", "n", "sig", "sketch"), "rows")
+    discard(*used)
+    return out
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int, radius: int, every: bool) -> tuple[DataFrame, DataFrame]:

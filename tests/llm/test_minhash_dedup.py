@@ -101,3 +101,37 @@ def test_keys_come_from_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
     assert sum(counts) == 3000 and max(counts) <= 2 * 100
     keys = {tuple(r) for r in md._keyed(nodes.limit(50), chunks).collect()}
     assert keys == {(int(k), r.node) for r in nodes.limit(50).collect() for k in md.chunk_keys(np.frombuffer(r.sig, np.uint8)[None, :], chunks).view(np.int64).reshape(-1)}
+
+
+def test_groups_around_one_passage_stay_whole(spark, monkeypatch):
+    """Such texts share many keys: cut by them, each pair would meet under each."""
+    from quarry.llm import ngram_jaccard
+
+    for m in (md, ngram_jaccard):
+        monkeypatch.setattr(m, "TILE", 8)
+    made = {}
+
+    def count(df, name, *by, write=md.spool):
+        out = write(df, name, *by)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(md, "spool", count)
+    rows = [(i, " ".join([f"s{k}" for k in range(200)] + [f"own{i}x{k}" for k in range(30)])) for i in range(40)]
+    assert result(md.minhash_components(spark.createDataFrame(rows, DOCS))) == expected(rows, 3, 85)
+    assert 0 < made["rows"] <= made["named"] and made["cut"] == 0
+
+
+def test_groups_of_many_rare_keys_are_cut(spark, monkeypatch):
+    from quarry.llm import ngram_jaccard
+
+    for m in (md, ngram_jaccard):
+        monkeypatch.setattr(m, "TILE", 8)
+    chunks, width = md.layout(85)
+    sig = np.random.default_rng(5).integers(0, 256, (600, chunks * width), dtype=np.uint8)
+    sig[1:300:2, :width] = sig[0:300:2, :width]  # of group 1, nodes agree in one chunk by twos
+    sig[300:] = sig[300]  # of group 2, all agree
+    left = spark.createDataFrame([(1 + i // 300, -1, i, i) for i in range(600)], "low long, chunk int, node long, comp long")
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "node long, sig binary")
+    assert [r.low for r in md._worth_cutting(left, nodes, chunks).collect()] == [1]
+    assert {r.of for r in md._cut(left.filter("low = 1"), nodes, chunks).select("of").distinct().collect()} == {1}
